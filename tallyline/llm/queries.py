@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallyline.llm import components, formatting, survivors, tokenize
+from tallyline.llm import components, formatting, mixing, spam, survivors, tokenize
 from tallyline.sources.tables import table
 
 QUERIES: dict = {}
@@ -60,3 +60,23 @@ def p7_ids(spark, folder):
 @_query("p7_offsets")
 def p7_offsets(spark, folder):
     return tokenize.encode_with_offsets(table(spark, folder, "documents"), ["doc_id"])
+
+
+@_query("p8_mixture")
+def p8_mixture(spark, folder):
+    return mixing.Mixture(table(spark, folder, "documents"), table(spark, folder, "mix_targets")).documents()
+
+
+@_query("p8_shares")
+def p8_shares(spark, folder):
+    return mixing.Mixture(table(spark, folder, "documents"), table(spark, folder, "mix_targets")).shares()
+
+
+@_query("p9_found")
+def p9_found(spark, folder):
+    return spam.stuffed_pages(table(spark, folder, "documents"))
+
+
+@_query("p9_features")
+def p9_features(spark, folder):
+    return spam.page_features(table(spark, folder, "documents"))
