@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallyline.llm import components, formatting, mixing, spam, survivors, tokenize
+from tallyline.llm import components, formatting, mixing, spam, survivors, tokenize, variants
 from tallyline.sources.tables import table
 
 QUERIES: dict = {}
@@ -80,3 +80,13 @@ def p9_found(spark, folder):
 @_query("p9_features")
 def p9_features(spark, folder):
     return spam.page_features(table(spark, folder, "documents"))
+
+
+@_query("p6_found")
+def p6_found(spark, folder):
+    return variants.variant_pairs(table(spark, folder, "invoices", "vendor_name"))
+
+
+@_query("p6_vendors")
+def p6_vendors(spark, folder):
+    return variants.vendor_classes(table(spark, folder, "invoices", "vendor_name"))
