@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallyline.llm import components, formatting, mixing, spam, survivors, tokenize, variants
+from tallyline.llm import components, formatting, history, mixing, spam, survivors, tokenize, variants
 from tallyline.sources.tables import table
 
 QUERIES: dict = {}
@@ -90,3 +90,9 @@ def p6_found(spark, folder):
 @_query("p6_vendors")
 def p6_vendors(spark, folder):
     return variants.vendor_classes(table(spark, folder, "invoices", "vendor_name"))
+
+
+@_query("p3_found")
+def p3_found(spark, folder):
+    columns = ("id", "vendor_name", "invoice_no", "amount", "batch_no")
+    return history.late_duplicates(table(spark, folder, "invoices", *columns))
