@@ -1,7 +1,7 @@
 """Checking new batches against all history by content-defined chunks.
 
-A record's number becomes a short byte stream in which look-alike letters, case, punctuation and zeros don't count, once
-in the order written and once with its parts sorted. A rolling hash over two bytes puts boundaries where the *content*
+A record's number becomes a short byte stream in which look-alike letters, case, punctuation, zeros and words added in
+passing don't count: all of it, its digits as written, and these with their parts sorted. A rolling hash over two bytes puts boundaries where the *content*
 says so, hence an inserted, lost or moved part leaves the other chunks as they are. The persistent table has a row
 (chunk key, record) for every chunk of every accepted record; the key also takes in the vendor's class and the amount's
 band, so a chunk leads to the few records that could match at all.
@@ -31,8 +31,8 @@ from tallyline.llm.texts import missing
 from tallyline.llm.variants import vendor_classes
 from tallyline.plans.lineage import Scratch
 
-#: Share of the longer record's bytes that two records must share.
-COVERAGE = 0.4
+#: Two records must share more than this share of the longer one's bytes.
+COVERAGE = 0.45
 #: Lists of a chunk up to this length count as equally rare.
 SHORT_LIST = 16
 #: Amounts may differ by one in a hundred of the larger.
@@ -43,6 +43,8 @@ BAND = 0.0202
 LOOKALIKES = ("ilsbzgo0", "115826")
 INCIDENTAL = frozenset("copy kopie copie copia salinan duplicate duplicata duplikat dup scan scanned orig original rev revised resend resent 2nd second final draft page".split())
 
+#: The streams of a number.
+VIEWS = ("whole", "written", "ordered")
 _FOLD = str.maketrans("ilsbzgo", "1158260")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -51,7 +53,7 @@ _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 def chunk_batch(streams: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(stream, hash, bytes) of every chunk of the streams, all at once.
 
-    A boundary follows a byte if the hash of it and its predecessor ends in 00, unless the byte before already has one. A chunk's
+    A boundary follows a byte if the hash of it and its predecessor is even, unless the byte before already has one. A chunk's
     hash is a difference of the running polynomial hash, scaled back to the chunk's beginning.
     """
     data = np.frombuffer("".join(streams).encode("ascii", "replace"), np.uint8)
@@ -62,7 +64,7 @@ def chunk_batch(streams: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
         return empty, empty, empty
     owner = np.repeat(np.arange(len(streams)), lengths)
     window = (np.append(np.uint32(0), data[:-1].astype(np.uint32)) * np.uint32(0x01000193) ^ data) * np.uint32(0x85EBCA6B)
-    cut = (window >> np.uint32(13)) & np.uint32(3) == 0
+    cut = (window >> np.uint32(13)) & np.uint32(1) == 0
     first = np.append(True, owner[1:] != owner[:-1])
     cut &= ~first
     cut[1:] &= ~cut[:-1]
@@ -135,8 +137,19 @@ def number_form(no: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(no), r"[^\p{L}\p{N}]+", " "))
 
 
-def _stream(form: Column) -> Column:
-    return F.translate(F.replace(form, F.lit(" "), F.lit("")), *LOOKALIKES)
+def _streams(form: str) -> tuple[Column, Column, Column]:
+    """The byte streams of a number: all of it, the digits as written, the digits with their parts sorted.
+
+    Words at either end of a part and letters that resemble no digit are left out, unless nothing else remains. In the
+    sorted stream a year at the head of a long digit string is a part of its own.
+    """
+    parts = F.filter(F.split(form, " "), lambda x: ~x.isin(*INCIDENTAL))
+    digits = F.transform(parts, lambda x: F.translate(F.regexp_replace(x, r"^\p{L}{2,}|\p{L}{2,}$", ""), "ilsbzgo", "1158260"))
+    digits = F.transform(digits, lambda x: F.regexp_replace(x, "[^0-9]", ""))
+    apart = F.split(F.array_join(F.transform(digits, lambda x: F.regexp_replace(x, r"^((?:19|20)\d\d)(\d{4,})$", "$1 $2")), " "), " ")
+    written, ordered = (F.replace(x, F.lit("0"), F.lit("")) for x in (F.array_join(digits, ""), F.array_join(F.array_sort(F.transform(apart, lambda x: F.regexp_replace(x, "^0+", ""))), "")))
+    whole = F.translate(F.when(F.size(parts) > 0, F.array_join(parts, "")).otherwise(F.replace(form, F.lit(" "), F.lit(""))), *LOOKALIKES)
+    return whole, F.when(written != "", written).otherwise(whole), F.when(ordered != "", ordered).otherwise(whole)
 
 
 def records(invoices: DataFrame, classes: DataFrame) -> DataFrame:
@@ -147,25 +160,23 @@ def records(invoices: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def _chunked(df: DataFrame) -> DataFrame:
-    """Adds ``views``: for each stream the chunks' hashes and sizes."""
+    """Adds VIEWS: for each stream the chunks' hashes and sizes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            streams = [batch.column(k).to_pylist() for k in (1, 2)]
+            streams = [batch.column(k).to_pylist() for k in (1, 2, 3)]
             views = []
             for s in streams:
                 owner, hashes, sizes = chunk_batch(s)
                 offsets = np.searchsorted(owner, np.arange(len(s) + 1)).astype(np.int32)
                 pairs = pa.StructArray.from_arrays([pa.array(hashes, pa.int64()), pa.array(sizes, pa.int32())], names=["h", "n"])
                 views.append(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pairs))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *views], names=["record", "written", "ordered"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *views], names=["record", *VIEWS])
 
-    stream = _stream(F.col("form"))
-    ordered = F.array_join(F.array_sort(F.transform(F.split("form", " "), _stream)), "")
     # what other scripts have is kept apart by its code points
-    ascii_ = [F.when(c.rlike("^[ -~]*$"), c).otherwise(F.hex(c)) for c in (stream, ordered)]
+    ascii_ = [F.when(c.rlike("^[ -~]*$"), c).otherwise(F.hex(c)) for c in _streams("form")]
     chunks = "array<struct<h:bigint,n:int>>"
-    made = df.select("record", ascii_[0].alias("a"), ascii_[1].alias("b")).mapInArrow(run, f"record bigint, written {chunks}, ordered {chunks}")
+    made = df.select("record", *(c.alias(f"_{v}") for v, c in zip(VIEWS, ascii_))).mapInArrow(run, "record bigint, " + ", ".join(f"{v} {chunks}" for v in VIEWS))
     return df.join(made, "record")
 
 
@@ -174,24 +185,19 @@ def _band(amount: Column) -> Column:
 
 
 def _entries(df: DataFrame, bands: Column, *keep: str) -> DataFrame:
-    """(record, view, band, h, n, total, key) of every chunk; a view equal to the first is left out."""
-    views = F.filter(
-        F.array(
-            F.struct(F.lit(0).alias("view"), F.col("written").alias("chunks")),
-            F.when(F.col("ordered") != F.col("written"), F.struct(F.lit(1).alias("view"), F.col("ordered").alias("chunks"))),
-        ),
-        lambda x: x.isNotNull(),
-    )
-    out = df.select("record", "vendor", F.signum("amount").alias("sign"), *keep, F.explode(bands).alias("band"), F.inline(views))
+    """(record, view, band, n, total, key) of every chunk of every view; equal views count once."""
+    views = F.array_distinct(F.array(*(F.struct(F.col(v).alias("chunks")) for v in VIEWS)))
+    out = df.select("record", "vendor", F.signum("amount").alias("sign"), *keep, F.explode(bands).alias("band"), F.posexplode(views).alias("view", "x"))
+    out = out.withColumn("chunks", F.col("x.chunks"))
     total = F.aggregate("chunks", F.lit(0), lambda s, x: s + x["n"])
     out = out.select("record", "vendor", "sign", *keep, "band", "view", total.alias("total"), F.inline(F.array_distinct("chunks")))
-    return out.withColumn("key", F.xxhash64("vendor", "sign", "view", "band", "h"))
+    return out.withColumn("key", F.xxhash64("vendor", "sign", "band", "h"))
 
 
 class ChunkIndex:
     """The persistent table of accepted records and their chunks, in ``path`` (a folder all executors share).
 
-    ``records``: (record, vendor, form, amount, first_batch, written, ordered); ``chunks``: (key, record, amount,
+    ``records``: (record, vendor, form, amount, first_batch, last_batch and VIEWS); ``chunks``: (key, record, amount,
     first_batch). Both only ever grow, by files: a batch costs what it brings in, history isn't rewritten.
     """
 
@@ -209,7 +215,7 @@ class ChunkIndex:
         # what was written is read back: the records of this call are those that have no chunks yet
         mine = self._read("records") if not self._has("chunks") else self._read("records").join(new.select("vendor", "form", "amount"), ["vendor", "form", "amount"], "left_semi")
         entries = _entries(mine, F.array(_band(F.col("amount"))), "amount", "first_batch")
-        entries.select("key", "record", "amount", "first_batch").write.mode("append").parquet(f"{self.path}/chunks")
+        entries.select("key", "record", "amount", "first_batch").distinct().write.mode("append").parquet(f"{self.path}/chunks")
 
     def _has(self, name: str) -> bool:
         path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
@@ -235,25 +241,24 @@ class ChunkIndex:
             F.array_sort(F.collect_list(F.struct(F.coalesce("listed", F.lit(0)).alias("listed"), "key", "n"))).alias("c")
         )
         ahead = F.transform("c", lambda x, i: F.struct(x["key"].alias("key"), F.aggregate(F.slice("c", i + 1, F.size("c")), F.lit(0), lambda s, y: s + y["n"]).alias("rest")))
-        rare = grouped.select("record", "amount", "last_batch", "total", F.inline(ahead)).where(F.col("rest") >= COVERAGE * F.col("total"))
+        rare = grouped.select("record", "amount", "last_batch", "total", F.inline(ahead)).where(F.col("rest") > COVERAGE * F.col("total"))
         found = index.select("key", F.col("record").alias("other"), F.col("amount").alias("other_amount"), "first_batch")
         larger = F.greatest(F.abs("amount"), F.abs("other_amount"))
         close = F.abs(F.col("amount") - F.col("other_amount")) <= TOLERANCE * larger
         pairs = rare.select("key", "record", "amount", "last_batch").join(found, "key").where(close & (F.col("first_batch") < F.col("last_batch")))
         pairs = pairs.select("record", "other", "first_batch").distinct()
-        mine = asked.select("record", F.col("form").alias("form_a"), F.col("written").alias("written_a"), F.col("ordered").alias("ordered_a"))
-        other = self._read("records").select(F.col("record").alias("other"), F.col("form").alias("form_b"), F.col("written").alias("written_b"), F.col("ordered").alias("ordered_b"))
+        mine = asked.select("record", F.col("form").alias("form_a"), *(F.col(v).alias(f"{v}_a") for v in VIEWS))
+        other = self._read("records").select(F.col("record").alias("other"), F.col("form").alias("form_b"), *(F.col(v).alias(f"{v}_b") for v in VIEWS))
         both = pairs.join(mine, "record").join(other, "other")
 
-        def covered(view: str) -> Column:
-            a, b = F.col(f"{view}_a"), F.col(f"{view}_b")
-
+        def covered(a: str, b: str) -> Column:
             def size(chunks: Column) -> Column:
-                return F.aggregate(chunks, F.lit(0), lambda s, x: s + x["n"])
+                return F.aggregate(F.array_distinct(chunks), F.lit(0), lambda s, x: s + x["n"])
 
-            return size(F.array_intersect(a, b)) / F.greatest(size(F.array_distinct(a)), size(F.array_distinct(b)), F.lit(1))
+            return size(F.array_intersect(a, b)) / F.greatest(size(F.col(a)), size(F.col(b)), F.lit(1))
 
-        decided = both.where(F.greatest(covered("written"), covered("ordered")) >= COVERAGE)
+        views = [covered(f"{x}_a", f"{y}_b") for x in VIEWS for y in VIEWS]
+        decided = both.where(F.greatest(*views) > COVERAGE)
         same = F.replace("form_a", F.lit(" "), F.lit("")) == F.replace("form_b", F.lit(" "), F.lit(""))
         sure = decided.where(same).select("record", "first_batch")
         compared = decided.where(~same).where(_same_number("form_a", "form_b")).select("record", "first_batch")
