@@ -32,7 +32,7 @@ from tallyline.llm.variants import vendor_classes
 from tallyline.plans.lineage import Scratch
 
 #: Two records must share more than this share of the longer one's bytes.
-COVERAGE = 0.45
+COVERAGE = 0.5
 #: Lists of a chunk up to this length count as equally rare.
 SHORT_LIST = 16
 #: Amounts may differ by one in a hundred of the larger.
