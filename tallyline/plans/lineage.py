@@ -9,7 +9,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -46,6 +46,15 @@ class Scratch:
         self._paths[id(kept)] = (kept, path)
         return kept
 
+    def measured(self, df: DataFrame, **aggregates: Column) -> tuple[DataFrame, dict]:
+        """``keep``, and aggregates of the rows taken in the same job.
+
+        A task that runs again after a loss may be counted twice: good for whether there is anything, and for shares.
+        """
+        seen = Observation()
+        kept = self.keep(df.observe(seen, *(c.alias(name) for name, c in aggregates.items())))
+        return kept, seen.get
+
     def release(self, *kept: DataFrame) -> None:
         """Delete tables that nothing reads any more."""
         for df in kept:
