@@ -35,14 +35,11 @@ def _jump(scratch: Scratch, forest: DataFrame) -> DataFrame:
     """Pointers (child, parent) of a forest, each moved to its root."""
     while True:
         up = forest.select(F.col("child").alias("parent"), F.col("parent").alias("above"))
-        moved = scratch.keep(
-            forest.join(up, "parent", "left").select(
-                "child", F.coalesce("above", "parent").alias("parent"), F.col("above").isNotNull().alias("moved")
-            )
-        )
+        step = forest.join(up, "parent", "left").select("child", F.coalesce("above", "parent").alias("parent"), F.col("above").alias("above"))
+        moved, seen = scratch.measured(step, moved=F.count("above"))
         scratch.release(forest)
         forest = moved.select("child", "parent")
-        if moved.where("moved").isEmpty():
+        if not seen["moved"]:
             return forest
 
 
@@ -58,8 +55,9 @@ def _rank_chains(scratch: Scratch, inner: DataFrame) -> DataFrame:
     arcs = arcs.join(inside, "t", "left").select(
         "x", "v", F.col("v").alias("p"), "t", F.col("v").alias("low"), F.col("inside").isNull().alias("done"), F.lit(True).alias("news")
     )
-    arcs = scratch.keep(arcs)
-    while not arcs.where("not done and news").isEmpty():
+    active = F.count_if(~F.col("done") & F.col("news"))
+    arcs, seen = scratch.measured(arcs, active=active)
+    while seen["active"]:
         ahead = arcs.select(
             F.col("x").alias("p"), F.col("v").alias("t"), F.col("p").alias("p2"), F.col("t").alias("t2"), F.col("low").alias("low2"), F.col("done").alias("done2")
         )
@@ -67,7 +65,7 @@ def _rank_chains(scratch: Scratch, inner: DataFrame) -> DataFrame:
             "x", "v", F.col("p2").alias("p"), F.col("t2").alias("t"), F.least("low", "low2").alias("low"), F.col("done2").alias("done"),
             (F.col("done2") | (F.col("low2") < F.col("low"))).alias("news"),
         )
-        moved = scratch.keep(arcs.where("done").withColumn("news", F.lit(False)).unionByName(step))
+        moved, seen = scratch.measured(arcs.where("done").withColumn("news", F.lit(False)).unionByName(step), active=active)
         scratch.release(arcs)
         arcs = moved
     ends = arcs.groupBy("v").agg(F.min(F.when(F.col("done"), F.col("t"))).alias("end_a"), F.max(F.when(F.col("done"), F.col("t"))).alias("end_b"), F.min("low").alias("low"))
@@ -86,8 +84,9 @@ def connected_components(pairs: DataFrame, a: str = "id_a", b: str = "id_b") ->
     pointers: list[DataFrame] = []
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        degree = scratch.keep(both.groupBy("u").agg(F.count(F.lit(1)).alias("d"), F.min("v").alias("lo"), F.max("v").alias("hi")))
-        n, low, chained = degree.agg(F.count(F.lit(1)), F.count_if(F.col("d") < 3), F.count_if(F.col("d") == 2)).first()
+        degree = both.groupBy("u").agg(F.count(F.lit(1)).alias("d"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+        degree, seen = scratch.measured(degree, n=F.count(F.lit(1)), low=F.count_if(F.col("d") < 3), chained=F.count_if(F.col("d") == 2))
+        n, low, chained = seen["n"] or 0, seen["low"], seen["chained"]
         if not n:
             break
         if low >= PEEL_SHARE * n:
