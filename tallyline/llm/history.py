@@ -188,9 +188,9 @@ def _entries(df: DataFrame, bands: Column, *keep: str) -> DataFrame:
     """(record, view, band, n, total, key) of every chunk of every view; equal views count once."""
     views = F.array_distinct(F.array(*(F.struct(F.col(v).alias("chunks")) for v in VIEWS)))
     out = df.select("record", "vendor", F.signum("amount").alias("sign"), *keep, F.explode(bands).alias("band"), F.posexplode(views).alias("view", "x"))
-    out = out.withColumn("chunks", F.col("x.chunks"))
+    out = out.withColumn("chunks", F.array_distinct("x.chunks"))
     total = F.aggregate("chunks", F.lit(0), lambda s, x: s + x["n"])
-    out = out.select("record", "vendor", "sign", *keep, "band", "view", total.alias("total"), F.inline(F.array_distinct("chunks")))
+    out = out.select("record", "vendor", "sign", *keep, "band", "view", total.alias("total"), F.inline("chunks"))
     return out.withColumn("key", F.xxhash64("vendor", "sign", "band", "h"))
 
 

@@ -53,8 +53,9 @@ _BUSINESS = re.compile(
     r"|\d+\s+pcs\b|\d\s*[x×@=]\s+\S*\d|;\s*\S*\d+\s*;|@\s*\d",  # quantities and prices
     re.I,
 )
-#: An item with its quantity at either end, a labelled value: business unless a product code follows.
-_ITEM = re.compile(r"^\W*\d{1,3}\s*[x×]?\s+\D|[(,;]\s*\d{1,3}\)?\s*$|^[^:\n]{2,30}:\s*\S", re.I)
+#: An item with its quantity at either end, and a labelled value: business unless a product code follows.
+_QUANTITY = re.compile(r"^\W*\d{1,3}\s*[x×]?\s+\D|[(,;]\s*\d{1,3}\)?\s*$", re.I)
+_LABEL = re.compile(r"^[^:\n]{2,30}:\s*\S")
 _SEPARATORS = re.compile(r"[|/*,;#>\n•·~_+]|\s-\s|\s{2,}")
 _CODE = re.compile(r"\b(?:sku|art|ref|ean|asin)\W*\d{3,}|\b\d{4,}\s*$", re.I)
 _LATIN = re.compile(r"[A-Za-zÀ-ɏ]")
@@ -92,13 +93,15 @@ def features(text: str | None) -> tuple[float, ...]:
             linked += size
         elif _BUSINESS.search(segment) or sum(map(len, found)) < 0.4 * len(re.sub(r"\s", "", bare)):
             continue
+        elif _QUANTITY.search(segment) and not _CODE.search(segment):
+            continue
         elif repeating:
             pass
         elif functional >= 2 and functional >= 0.08 * len(found) or functional and len(found) <= 8:
             continue
         elif len(_LATIN.findall(segment)) < 0.5 * len(_LETTER.findall(segment)):
             continue
-        elif _ITEM.search(segment) and not _CODE.search(segment):
+        elif _LABEL.search(segment) and not _CODE.search(segment):
             continue
         kept += size
         separators += len(_SEPARATORS.findall(segment)) + 1
