@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyline.functions import normalize as N
+from tallyline.plans.lineage import spread
 
 # How lines that hold a field begin, in the order in which they are tried; the fields that count.
 _END = r"\s*(.+?)\s*$"
@@ -18,17 +19,17 @@ TAX_ID = r"(?i)^\s*(?:tax\s*(?:id|no\.?|number)?|vat(?:\s*(?:id|no\.?|number))?)
 CORE_FIELDS = ("vendor_name", "invoice_no", "invoice_date", "amount")
 
 
-def _first(lines: Column, read) -> Column:
-    """The first value that ``read`` gets from a line; null if none gives one."""
-    return F.get(F.filter(F.transform(lines, read), lambda x: x.isNotNull()), F.lit(0))
+def _first(lines: Column, patterns: tuple[str, ...], read=lambda x: x) -> Column:
+    """What ``read`` makes of the first line of a pattern for which it gives anything; only such lines are read."""
 
+    def value(line: Column) -> Column:
+        found = F.regexp_extract(line, patterns[0], 1)
+        for p in patterns[1:]:
+            found = F.when(found != "", found).otherwise(F.regexp_extract(line, p, 1))
+        return F.nullif(F.trim(found), F.lit(""))
 
-def _text(*patterns: str):
-    def read(line: Column) -> Column:
-        found = F.coalesce(*(F.when(line.rlike(p), F.trim(F.regexp_extract(line, p, 1))) for p in patterns))
-        return F.when(found != "", found)
-
-    return read
+    held = F.filter(lines, lambda x: x.rlike("|".join(f"(?:{p})" for p in patterns)))
+    return F.get(F.filter(F.transform(held, lambda x: read(value(x))), lambda x: x.isNotNull()), F.lit(0))
 
 
 def fields_of(text: Column) -> Column:
@@ -37,13 +38,14 @@ def fields_of(text: Column) -> Column:
     The first line that gives a field wins; a date or an amount that can't be read leaves the field to a later line. Texts
     not found are '', numbers and dates null; so for a null text.
     """
-    lines = F.split(F.coalesce(text, F.lit("")), r"\R")
+    # lines with a label only: the patterns are tried on few lines of a long text
+    lines = F.filter(F.split(F.coalesce(text, F.lit("")), r"\R"), lambda x: x.rlike(r"(?i)^\s*(?:vendor|supplier|seller|billed|from|inv|date|amount|total|grand|tax|vat)"))
     return F.struct(
-        F.coalesce(_first(lines, _text(VENDOR)), F.lit("")).alias("vendor_name"),
-        F.coalesce(_first(lines, _text(NUMBER_MARKED, NUMBER_WORD)), F.lit("")).alias("invoice_no"),
-        _first(lines, lambda x: N.amount_parsed(F.when(x.rlike(AMOUNT), F.regexp_extract(x, AMOUNT, 1)))).alias("amount"),
-        _first(lines, lambda x: N.date_parsed(F.when(x.rlike(DATE), F.regexp_extract(x, DATE, 1)))).alias("invoice_date"),
-        F.coalesce(_first(lines, _text(TAX_ID)), F.lit("")).alias("tax_id"),
+        F.coalesce(_first(lines, (VENDOR,)), F.lit("")).alias("vendor_name"),
+        F.coalesce(_first(lines, (NUMBER_MARKED, NUMBER_WORD)), F.lit("")).alias("invoice_no"),
+        _first(lines, (AMOUNT,), N.amount_parsed).alias("amount"),
+        _first(lines, (DATE,), N.date_parsed).alias("invoice_date"),
+        F.coalesce(_first(lines, (TAX_ID,)), F.lit("")).alias("tax_id"),
     )
 
 
@@ -59,7 +61,7 @@ def missing_of(fields: Column) -> Column:
 
 def extracted(df: DataFrame, text: str) -> DataFrame:
     """Adds ``fields``, ``missing`` and ``confidence`` (share of core fields found, two decimals)."""
-    out = df.withColumn("fields", fields_of(F.col(text)))
+    out = spread(df).withColumn("fields", fields_of(F.col(text))) if not df.isStreaming else df.withColumn("fields", fields_of(F.col(text)))
     out = out.withColumn("missing", missing_of(F.col("fields")))
     return out.withColumn("confidence", F.round((len(CORE_FIELDS) - F.size("missing")) / float(len(CORE_FIELDS)), 2))
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyline.functions import normalize as N
 from tallyline.functions import similarity as S
-from tallyline.plans.lineage import Scratch
+from tallyline.plans.lineage import Scratch, spread
 
 FLAG, REVIEW, PASS = "flag", "review", "pass"
 REINVOICE = "reinvoice_pattern"
@@ -156,7 +156,8 @@ class Detection:
 def detect(invoices: DataFrame, config: ScoringConfig = ScoringConfig(), max_block: int = MAX_BLOCK) -> Detection:
     """All scored pairs of a table of invoices, and one row of counts. Empty tables give no pairs and zeros."""
     scratch = Scratch(invoices.sparkSession, "detect")
-    rows = scratch.keep(normalized(invoices))
+    needed = ("id", "vendor_name", "invoice_no", "amount", "invoice_date", "tax_id", "created_at")
+    rows = scratch.keep(normalized(spread(invoices.select(*needed))))
     pairs = scratch.keep(scored(rows, candidate_pairs(rows, max_block), config))
     counts = pairs.agg(F.count(F.lit(1)).alias("scored_pairs"), F.count_if(F.col("label") == FLAG).alias("flagged"), F.count_if(F.col("label") == REVIEW).alias("review"))
     stats = blocking_stats(rows, max_block).withColumn("one", F.lit(1)).join(counts.withColumn("one", F.lit(1)), "one").drop("one")

@@ -60,3 +60,13 @@ class Scratch:
         for df in kept:
             if found := self._paths.pop(id(df), None):
                 self._fs.delete(self._path(found[1]), True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df``, dealt over all cores if it is a scan of fewer splits than there are cores.
+
+    For passes that cost much more than moving their rows: a table in one small file would otherwise keep one core busy.
+    A large table has splits enough and is left alone, so nothing is shuffled at scale.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
