@@ -1,7 +1,5 @@
 import random
 
-import pytest
-
 from tallyline.llm import spam as M
 
 PROSE = "The goods arrived on Monday and were booked in by the warehouse. We have not yet received payment for the last bill, which was due in March."
@@ -19,18 +17,17 @@ DOORWAY = " | ".join(f"papier A4 promo à Ville{chr(97 + i)}" for i in range(20)
 GREEK = "Η απόδειξη εκδόθηκε σήμερα. 我们核对了两份扫描件,税号相同。 Оплата пока не поступила."
 
 
-@pytest.mark.parametrize(
-    "text, found",
-    [
-        (PROSE, False), (GERMAN, False), (ITEMS, False), (ORDER, False), (REMITTANCE, False), (GREEK, False), (None, False), ("", False), (" \n", False), ("ok", False),
-        (PROSE + "\nsee: http://a.example.com/b", False), (KEYWORDS, True), (TAGS, True), (HASHTAGS, True), (LINKS, True), (HTML, True), (BUY, True), (DOORWAY, True),
-        ("We changed our bank last spring, as agreed on the phone.\n" + KEYWORDS, True), ("We changed our bank last spring, as agreed on the phone.\n" + LINKS, True), (KEYWORDS * 200, True), (PROSE * 500, False),
-    ],
-)
-def test_pages(spark, text, found):
-    corpus = [(i, (PROSE if i % 2 else ITEMS), "en") for i in range(10)] + [(99, text, "en")]
-    df = spark.createDataFrame(corpus, "doc_id bigint, text string, lang string")
-    assert (99 in {r.doc_id for r in M.stuffed_pages(df).collect()}) is found
+CASES = [
+    (PROSE, False), (GERMAN, False), (ITEMS, False), (ORDER, False), (REMITTANCE, False), (GREEK, False), (None, False), ("", False), (" \n", False), ("ok", False),
+    (PROSE + "\nsee: http://a.example.com/b", False), (KEYWORDS, True), (TAGS, True), (HASHTAGS, True), (LINKS, True), (HTML, True), (BUY, True), (DOORWAY, True),
+    ("We changed our bank last spring, as agreed on the phone.\n" + KEYWORDS, True), ("We changed our bank last spring, as agreed on the phone.\n" + LINKS, True), (KEYWORDS * 200, True), (PROSE * 500, False),
+]
+
+
+def test_pages(spark):
+    corpus = [(i, (PROSE if i % 2 else ITEMS), "en") for i in range(60)] + [(1000 + i, text, "en") for i, (text, _) in enumerate(CASES)]
+    found = {r.doc_id for r in M.stuffed_pages(spark.createDataFrame(corpus, "doc_id bigint, text string, lang string")).collect()}
+    assert found == {1000 + i for i, (_, expected) in enumerate(CASES) if expected}
 
 
 def test_languages_and_clashing_columns(spark):
