@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyline.plans.lineage import Scratch, spread
+
 #: Common function words of the corpus's languages.
 FUNCTION_WORDS = frozenset(
     # English
@@ -134,7 +136,7 @@ def page_features(df: DataFrame, key: str = "doc_id", text: str = "text", lang:
     # only the primary subtag counts: 'de-DE' and ' DE' are German
     language = F.coalesce(F.regexp_extract(F.lower(F.trim(F.col(lang))), r"^([a-z]{2,3})", 1), F.lit(""))
     schema = f"`{key}` {df.schema[key].dataType.simpleString()}, lang string, " + ", ".join(f"{f} double" for f in FEATURES)
-    return df.select(F.col(key), language.alias("lang"), F.col(text)).mapInArrow(run, schema)
+    return spread(df.select(F.col(key), language.alias("lang"), F.col(text))).mapInArrow(run, schema)
 
 
 def thresholds(measured: DataFrame) -> DataFrame:
@@ -182,7 +184,7 @@ def stuffed_pages(df: DataFrame, key: str = "doc_id", text: str = "text", lang:
     judged by the thresholds of all documents. The table of thresholds has a row for each language with MIN_DOCUMENTS
     documents and is joined by broadcast: two letters to three make at most 18,252 of them.
     """
-    measured = page_features(df, key, text, lang)
+    measured = Scratch(df.sparkSession, "pages").keep(page_features(df, key, text, lang))
     limits = thresholds(measured)
     known = limits.select(F.col("lang").alias("known"), "few_function_words", "dense")
     rest = known.where(F.col("known") == OTHER_LANGUAGE).select(F.col("few_function_words").alias("few_rest"), F.col("dense").alias("dense_rest"), F.lit(1).alias("one"))

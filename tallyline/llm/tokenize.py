@@ -21,6 +21,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from tallyline.plans.lineage import spread
+
 TOKENIZERS = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Slices kept in the cache of merges before it is emptied.
@@ -261,7 +263,7 @@ def _mapped(df: DataFrame, keys: list[str], text: str, schema: str, last, folder
 
     names = [x.strip().split()[0] for x in schema.split(",")]
     kinds = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
-    return df.select(*keys, text).mapInArrow(run, f"{kinds}, {schema}")
+    return spread(df.select(*keys, text)).mapInArrow(run, f"{kinds}, {schema}")
 
 
 def encode(df: DataFrame, keys: list[str], text: str = "text", folder: str = TOKENIZERS, name: str = VOCABULARY) -> DataFrame:
