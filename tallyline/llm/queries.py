@@ -32,7 +32,23 @@ def p2_found(spark, folder):
     return components.connected_components(components.flagged_pairs(table(spark, folder, "invoice_pairs")))
 
 
-@_query("p5_found")
+_MISSING = "(x IS NULL OR lower(regexp_replace(x, '[^\\p{L}\\p{N}]+', '', 'g')) IN ('', 'na', 'none', 'unknown', 'null'))"
+
+_BEST = f"""WITH RECURSIVE links AS (SELECT id AS u, duplicate_of AS v FROM invoices WHERE trim(duplicate_of) <> '' AND id <> duplicate_of),
+  edges AS (SELECT u, v FROM links UNION SELECT v, u FROM links){_REACH},
+  members AS (SELECT a AS id, min(b) AS label FROM reach WHERE a IN (SELECT id FROM invoices) GROUP BY a),
+  heads AS (SELECT label, min(id) AS group_id FROM members GROUP BY label HAVING count(*) > 1),
+  held AS (SELECT h.group_id, i.*, t.trust_rank FROM members m JOIN heads h USING (label) JOIN invoices i ON i.id = m.id
+    LEFT JOIN source_trust t ON lower(trim(t.source_type)) = lower(trim(i.source_type))),
+  cells AS (SELECT *, unnest([{{'f': 'vendor_name', 'x': vendor_name}}, {{'f': 'invoice_no', 'x': invoice_no}}, {{'f': 'currency', 'x': currency}},
+    {{'f': 'tax_id', 'x': tax_id}}, {{'f': 'amount', 'x': CAST(nullif(amount, 0) AS VARCHAR)}}, {{'f': 'invoice_date', 'x': CAST(invoice_date AS VARCHAR)}}], recursive := true) FROM held),
+  ranked AS (SELECT group_id, f AS field_name, id, row_number() OVER (PARTITION BY group_id, f ORDER BY coalesce(trust_rank, 2147483647),
+    CASE WHEN isnan(extraction_confidence) OR extraction_confidence NOT BETWEEN 0 AND 1 THEN NULL ELSE extraction_confidence END DESC NULLS LAST,
+    created_at DESC NULLS LAST, id) AS rn FROM cells WHERE NOT {_MISSING})
+  SELECT group_id, field_name, id FROM ranked WHERE rn = 1"""
+
+
+@_query("p5_found", _BEST)
 def p5_found(spark, folder):
     return survivors.best_copies(table(spark, folder, "invoices"), table(spark, folder, "source_trust"))
 
