@@ -45,6 +45,7 @@ INCIDENTAL = frozenset("copy kopie copie copia salinan duplicate duplicata dupli
 
 #: The streams of a number.
 VIEWS = ("whole", "written", "ordered")
+SIGNATURES = ("signs", "digits")
 _FOLD = str.maketrans("ilsbzgo", "1158260")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -99,7 +100,7 @@ def _runs(parts: list[str]) -> tuple[list[str], list[str]]:
     letters: list[str] = []
     digits: list[str] = []
     for p in parts:
-        for is_digit, run in groupby(p, str.isdigit):
+        for is_digit, run in groupby(p, lambda c: c in "0123456789"):
             (digits if is_digit else letters).append("".join(run))
     return letters, digits
 
@@ -152,6 +153,16 @@ def _streams(form: str) -> tuple[Column, Column, Column]:
     return whole, F.when(written != "", written).otherwise(whole), F.when(ordered != "", ordered).otherwise(whole)
 
 
+def _signatures(form: str) -> list[Column]:
+    """Hashes of the sorted signs of a number, zeros left out: all of it with look-alikes folded, and its digits alone.
+
+    The exact comparison can only succeed where one of the two is equal, so the lookup drops all other pairs at once.
+    """
+    kept = F.array_join(F.filter(F.split(form, " "), lambda x: ~x.isin(*INCIDENTAL)), "")
+    signs = F.translate(kept, *LOOKALIKES), F.regexp_replace(kept, "[^1-9]", "")
+    return [F.xxhash64(F.array_join(F.array_sort(F.split(x, "")), "")).alias(name) for x, name in zip(signs, SIGNATURES)]
+
+
 def records(invoices: DataFrame, classes: DataFrame) -> DataFrame:
     """Rows that can be cases: (id, vendor, form, amount, batch_no). ``classes``: vendor_name and its vendor."""
     usable = ~missing(F.col("vendor_name")) & ~missing(F.col("invoice_no")) & (F.col("amount") != 0) & F.col("batch_no").isNotNull()
@@ -198,7 +209,7 @@ class ChunkIndex:
     """The persistent table of accepted records and their chunks, in ``path`` (a folder all executors share).
 
     ``records``: (record, vendor, form, amount, first_batch, last_batch and VIEWS); ``chunks``: (key, record, amount,
-    first_batch). Both only ever grow, by files: a batch costs what it brings in, history isn't rewritten.
+    first_batch and SIGNATURES). Both only ever grow, by files: a batch costs what it brings in, history isn't rewritten.
     """
 
     def __init__(self, spark: SparkSession, path: str):
@@ -214,8 +225,8 @@ class ChunkIndex:
         chunked.write.mode("append").parquet(f"{self.path}/records")
         # what was written is read back: the records of this call are those that have no chunks yet
         mine = self._read("records") if not self._has("chunks") else self._read("records").join(new.select("vendor", "form", "amount"), ["vendor", "form", "amount"], "left_semi")
-        entries = _entries(mine, F.array(_band(F.col("amount"))), "amount", "first_batch")
-        entries.select("key", "record", "amount", "first_batch").distinct().write.mode("append").parquet(f"{self.path}/chunks")
+        entries = _entries(mine.select("*", *_signatures("form")), F.array(_band(F.col("amount"))), "amount", "first_batch", *SIGNATURES)
+        entries.select("key", "record", "amount", "first_batch", *SIGNATURES).distinct().write.mode("append").parquet(f"{self.path}/chunks")
 
     def _has(self, name: str) -> bool:
         path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
@@ -234,18 +245,19 @@ class ChunkIndex:
         index = self._read("chunks")
         at = F.log(F.abs(F.col("amount").cast("double"))) / BAND
         beside = F.when(at - F.floor(at) < 0.5, _band(F.col("amount")) - 1).otherwise(_band(F.col("amount")) + 1)
-        looked = _entries(asked, F.array(_band(F.col("amount")), beside), "amount", "last_batch")
+        looked = _entries(asked.select("*", *_signatures("form")), F.array(_band(F.col("amount")), beside), "amount", "last_batch", *SIGNATURES)
         long_lists = index.groupBy("key").agg(F.count(F.lit(1)).alias("listed")).where(F.col("listed") > SHORT_LIST)
         weighed = looked.join(long_lists, "key", "left")
-        grouped = weighed.groupBy("record", "amount", "last_batch", "band", "view", "total").agg(
+        grouped = weighed.groupBy("record", "amount", "last_batch", *SIGNATURES, "band", "view", "total").agg(
             F.array_sort(F.collect_list(F.struct(F.coalesce("listed", F.lit(0)).alias("listed"), "key", "n"))).alias("c")
         )
         ahead = F.transform("c", lambda x, i: F.struct(x["key"].alias("key"), F.aggregate(F.slice("c", i + 1, F.size("c")), F.lit(0), lambda s, y: s + y["n"]).alias("rest")))
-        rare = grouped.select("record", "amount", "last_batch", "total", F.inline(ahead)).where(F.col("rest") > COVERAGE * F.col("total"))
-        found = index.select("key", F.col("record").alias("other"), F.col("amount").alias("other_amount"), "first_batch")
+        rare = grouped.select("record", "amount", "last_batch", *SIGNATURES, "total", F.inline(ahead)).where(F.col("rest") > COVERAGE * F.col("total"))
+        found = index.select("key", F.col("record").alias("other"), F.col("amount").alias("other_amount"), "first_batch", *(F.col(x).alias(f"other_{x}") for x in SIGNATURES))
         larger = F.greatest(F.abs("amount"), F.abs("other_amount"))
         close = F.abs(F.col("amount") - F.col("other_amount")) <= TOLERANCE * larger
-        pairs = rare.select("key", "record", "amount", "last_batch").join(found, "key").where(close & (F.col("first_batch") < F.col("last_batch")))
+        alike = (F.col("signs") == F.col("other_signs")) | (F.col("digits") == F.col("other_digits"))
+        pairs = rare.drop("total", "rest").join(found, "key").where(close & alike & (F.col("first_batch") < F.col("last_batch")))
         pairs = pairs.select("record", "other", "first_batch").distinct()
         mine = asked.select("record", F.col("form").alias("form_a"), *(F.col(v).alias(f"{v}_a") for v in VIEWS))
         other = self._read("records").select(F.col("record").alias("other"), F.col("form").alias("form_b"), *(F.col(v).alias(f"{v}_b") for v in VIEWS))
