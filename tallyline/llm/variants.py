@@ -101,10 +101,16 @@ def _join_shards(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield solve(held)
 
 
+def _tasks(df: DataFrame) -> int:
+    """Tasks for passes that cost more than their bytes tell: named, so that adaptive execution does not merge them."""
+    spark = df.sparkSession
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
 def trie_join(keys: DataFrame) -> DataFrame:
     """(key, near): every two distinct keys at most one edit apart, both ways, and each key with itself."""
     sharded = keys.select("key", F.explode(_shards("key")).alias("shard"))
-    joined = sharded.repartition("shard").sortWithinPartitions("shard").mapInPandas(_join_shards, "key string, near string").distinct()
+    joined = sharded.repartition(_tasks(keys), "shard").sortWithinPartitions("shard").mapInPandas(_join_shards, "key string, near string").distinct()
     return joined.unionByName(joined.select(F.col("near").alias("key"), F.col("key").alias("near"))).unionByName(keys.select("key", F.col("key").alias("near")))
 
 
@@ -169,7 +175,7 @@ def vendor_classes(rows: DataFrame, name: str = "vendor_name") -> DataFrame:
     one, two = keyed.select("key", F.col("form").alias("form"), "n"), keyed.select(F.col("key").alias("near"), F.col("form").alias("parent"), F.col("n").alias("parent_n"))
     ahead = (F.col("parent_n") > F.col("n")) | (F.col("parent_n") == F.col("n")) & (F.col("parent") < F.col("form"))
     pairs = one.join(near, "key").join(two, "near").where(ahead).select("form", "parent", "parent_n").distinct()
-    judged = pairs.repartition("form", "parent").withColumn("cost", _cost("form", "parent")).where("cost is not null")
+    judged = pairs.repartition(_tasks(pairs), "form", "parent").withColumn("cost", _cost("form", "parent")).where("cost is not null")
     links = judged.groupBy("form").agg(F.min_by("parent", F.struct("cost", -F.col("parent_n"), "parent")).alias("parent"))
     classes = connected_components(links, "form", "parent").select(F.col("id").alias("form"), F.col("group_id").alias("class"))
     return known.join(classes, "form", "left").select(F.col("name").alias(name), "n_rows", F.coalesce("class", "form").alias("vendor"))
