@@ -8,7 +8,9 @@ band, so a chunk leads to the few records that could match at all.
 
 A new record looks up only its rarest chunks: as many as any record sharing ``COVERAGE`` of its bytes must have one of.
 Chunks that thousands of numbers of a vendor share (a prefix and a year) are thus never followed, however long their
-lists. Candidates are decided by the coverage of shared bytes, and an exact comparison of the numbers follows.
+lists. Numbers written glued and with their parts moved can share no chunk at all, so the sorted signs of a number are
+chunks of their own, each covering all of it: whatever the exact comparison of the numbers accepts shares one of these,
+and that comparison alone decides.
 
 Equal records (vendor, amount, number as written without case and punctuation) are one record with its earliest batch:
 copies, though they be a third of the table, have one entry, and are looked up once.
@@ -31,7 +33,7 @@ from tallyline.llm.texts import missing
 from tallyline.llm.variants import vendor_classes
 from tallyline.plans.lineage import Scratch
 
-#: Two records must share more than this share of the longer one's bytes.
+#: Share of a stream's bytes that a chunk looked up and those after it must exceed.
 COVERAGE = 0.5
 #: Lists of a chunk up to this length count as equally rare.
 SHORT_LIST = 16
@@ -45,7 +47,7 @@ INCIDENTAL = frozenset("copy kopie copie copia salinan duplicate duplicata dupli
 
 #: The streams of a number.
 VIEWS = ("whole", "written", "ordered")
-SIGNATURES = ("signs", "digits")
+SIGNATURES = ("every", "signs", "digits")
 _FOLD = str.maketrans("ilsbzgo", "1158260")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -154,13 +156,16 @@ def _streams(form: str) -> tuple[Column, Column, Column]:
 
 
 def _signatures(form: str) -> list[Column]:
-    """Hashes of the sorted signs of a number, zeros left out: all of it with look-alikes folded, and its digits alone.
+    """Hashes of the sorted signs of a number with look-alikes folded: of all parts, without words added in passing, and
+    of the digits as written but zeros (null if there are none).
 
-    The exact comparison can only succeed where one of the two is equal, so the lookup drops all other pairs at once.
+    The exact comparison can only succeed where one of the three is equal.
     """
     kept = F.array_join(F.filter(F.split(form, " "), lambda x: ~x.isin(*INCIDENTAL)), "")
-    signs = F.translate(kept, *LOOKALIKES), F.regexp_replace(kept, "[^1-9]", "")
-    return [F.xxhash64(F.array_join(F.array_sort(F.split(x, "")), "")).alias(name) for x, name in zip(signs, SIGNATURES)]
+    every, signs = (F.translate(x, "ilsbzgo", "1158260") for x in (F.replace(form, F.lit(" "), F.lit("")), kept))
+    digits = F.regexp_replace(kept, "[^1-9]", "")
+    hashes = [F.xxhash64(F.array_join(F.array_sort(F.split(x, "")), "")) for x in (every, signs, digits)]
+    return [x.alias(name) for x, name in zip((*hashes[:2], F.when(digits != "", hashes[2])), SIGNATURES)]
 
 
 def records(invoices: DataFrame, classes: DataFrame) -> DataFrame:
@@ -196,8 +201,9 @@ def _band(amount: Column) -> Column:
 
 
 def _entries(df: DataFrame, bands: Column, *keep: str) -> DataFrame:
-    """(record, view, band, n, total, key) of every chunk of every view; equal views count once."""
-    views = F.array_distinct(F.array(*(F.struct(F.col(v).alias("chunks")) for v in VIEWS)))
+    """(record, view, band, n, total, key) of every chunk of every view and of every signature; equal views count once."""
+    whole = (F.when(F.col(x).isNotNull(), F.struct(F.array(F.struct(F.col(x).alias("h"), F.lit(1).alias("n"))).alias("chunks"))) for x in SIGNATURES)
+    views = F.array_distinct(F.array_compact(F.array(*(F.struct(F.col(v).alias("chunks")) for v in VIEWS), *whole)))
     out = df.select("record", "vendor", F.signum("amount").alias("sign"), *keep, F.explode(bands).alias("band"), F.posexplode(views).alias("view", "x"))
     out = out.withColumn("chunks", F.array_distinct("x.chunks"))
     total = F.aggregate("chunks", F.lit(0), lambda s, x: s + x["n"])
@@ -256,31 +262,22 @@ class ChunkIndex:
         found = index.select("key", F.col("record").alias("other"), F.col("amount").alias("other_amount"), "first_batch", *(F.col(x).alias(f"other_{x}") for x in SIGNATURES))
         larger = F.greatest(F.abs("amount"), F.abs("other_amount"))
         close = F.abs(F.col("amount") - F.col("other_amount")) <= TOLERANCE * larger
-        alike = (F.col("signs") == F.col("other_signs")) | (F.col("digits") == F.col("other_digits"))
+        alike = F.coalesce(*(F.when(F.col(x) == F.col(f"other_{x}"), True) for x in SIGNATURES), F.lit(False))
         pairs = rare.drop("total", "rest").join(found, "key").where(close & alike & (F.col("first_batch") < F.col("last_batch")))
         pairs = pairs.select("record", "other", "first_batch").distinct()
-        mine = asked.select("record", F.col("form").alias("form_a"), *(F.col(v).alias(f"{v}_a") for v in VIEWS))
-        other = self._read("records").select(F.col("record").alias("other"), F.col("form").alias("form_b"), *(F.col(v).alias(f"{v}_b") for v in VIEWS))
+        mine = asked.select("record", F.col("form").alias("form_a"))
+        other = self._read("records").select(F.col("record").alias("other"), F.col("form").alias("form_b"))
         both = pairs.join(mine, "record").join(other, "other")
-
-        def covered(a: str, b: str) -> Column:
-            def size(chunks: Column) -> Column:
-                return F.aggregate(F.array_distinct(chunks), F.lit(0), lambda s, x: s + x["n"])
-
-            return size(F.array_intersect(a, b)) / F.greatest(size(F.col(a)), size(F.col(b)), F.lit(1))
-
-        views = [covered(f"{x}_a", f"{y}_b") for x in VIEWS for y in VIEWS]
-        decided = both.where(F.greatest(*views) > COVERAGE)
         same = F.replace("form_a", F.lit(" "), F.lit("")) == F.replace("form_b", F.lit(" "), F.lit(""))
-        sure = decided.where(same).select("record", "first_batch")
-        compared = decided.where(~same).where(_same_number("form_a", "form_b")).select("record", "first_batch")
+        sure = both.where(same).select("record", "first_batch")
+        compared = both.where(~same).where(_same_number("form_a", "form_b")).select("record", "first_batch")
         return sure.unionByName(compared).groupBy("record").agg(F.min("first_batch").alias("earlier"))
 
 
 def late_duplicates(invoices: DataFrame, classes: DataFrame | None = None, path: str | None = None) -> DataFrame:
     """(id): invoices of batches from 1 on of which an earlier batch has the same vendor, number and amount, or nearly.
 
-    Vendors are compared by their classes (``variants.vendor_classes``), numbers by chunk coverage and then exactly,
+    Vendors are compared by their classes (``variants.vendor_classes``), numbers exactly where they share a chunk,
     amounts within one per cent of the larger. Rows in which one of the three is missing, the amount is 0 or the batch is
     null are no cases and match none. A batch never matches itself. No rows give no cases.
     """

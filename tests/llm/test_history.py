@@ -1,4 +1,5 @@
 import random
+from itertools import permutations
 
 import pytest
 from pyspark.sql import functions as F
@@ -53,6 +54,19 @@ def test_late_duplicates(spark):
     assert H.late_duplicates(df.limit(0)).isEmpty()
 
 
+def test_moved_parts_and_glued_numbers(spark):
+    V, cases = "Fehudos Mobus Laboratories SARL", []
+    numbers = [("003354", "FAC", "11", "2024"), ("FAC", "2024", "06", "0245"), ("Re", "001", "10", "2O23"), ("7", "copy", "Z24")]
+    for k, parts in enumerate(numbers):
+        for order in permutations(parts):
+            for a, b in (("".join(order), " / ".join(parts)), (" / ".join(order), "".join(parts))):
+                amount = round(1000 * 1.03 ** (len(cases) // 2))
+                cases += [(V, a, amount, 0), (V, b, amount, 1)]
+    cases += [(V, "003354FAC112024", 5, 0), (V, "11/fac/2024/003345", 5, 1), (V, "ABC", 6, 0), (V, "ABD", 6, 1)]
+    judged = {f"i{k + 1:03d}" for k in range(0, len(cases) - 4, 2) if H.same_invoice_number(*(" ".join(cases[j][1].lower().replace("/", " ").split()) for j in (k, k + 1)))}
+    assert len(judged) > 100 and {r.id for r in H.late_duplicates(rows(spark, *cases)).collect()} == judged
+
+
 def test_one_copy_holds_most_rows(spark):
     df = rows(spark, *[("Acme Kope Freight Inc.", "INV-77", 50, 0)] * 300, *[("Acme Kope Freight Inc.", "inv 77", 50, 2)] * 100, ("Acme Kope Freight Inc.", "INV-78", 50, 2))
     assert H.late_duplicates(df).count() == 100
