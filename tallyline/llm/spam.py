@@ -62,10 +62,24 @@ _SEPARATORS = re.compile(r"[|/*,;#>\n•·~_+]|\s-\s|\s{2,}")
 _CODE = re.compile(r"\b(?:sku|art|ref|ean|asin)\W*\d{3,}|\b\d{4,}\s*$", re.I)
 _LATIN = re.compile(r"[A-Za-zÀ-ɏ]")
 _LETTER = re.compile(r"[^\W\d_]")
+_SENTENCE_END = re.compile(r"[.!?;。！？؟।…][\s\"'»”)\]]*$")
+_MARKS = re.compile(r"[#|/*;>•·~_+,،、，・\n]|\s[-–—]\s|\s{2,}")
+_DENSE_SCRIPT = re.compile(r"[\u0e00-\u0eff\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff]")
+#: Letters of a tag or keyword on average at most; a letter of scripts without blanks between words counts as three.
+TAG_LETTERS = 22
 
 FEATURES = ("n_segments", "n_words", "spam_share", "link_share", "top_word", "top_ngram", "duplicate_lines", "separators", "function_words")
 
 
+def _tagged(segment: str) -> bool:
+    """Whether a segment in a script without known function words is made of tags: short pieces, no end of a sentence."""
+    pieces = [x for x in _MARKS.split(segment) if x and _LETTER.search(x)]
+    if _SENTENCE_END.search(segment) and not (len(pieces) > 2 and re.search("[#|•·~]", segment)):
+        return False
+    letters = len(_LETTER.findall(segment)) + 2 * len(_DENSE_SCRIPT.findall(segment))
+    return letters <= TAG_LETTERS * len(pieces)
+
+
 def features(text: str | None) -> tuple[float, ...]:
     """The numbers of FEATURES; all 0 for a null, empty or blank text.
 
@@ -101,7 +115,7 @@ def features(text: str | None) -> tuple[float, ...]:
             pass
         elif functional >= 2 and functional >= 0.08 * len(found) or functional and len(found) <= 8:
             continue
-        elif len(_LATIN.findall(segment)) < 0.5 * len(_LETTER.findall(segment)):
+        elif len(_LATIN.findall(segment)) < 0.5 * len(_LETTER.findall(segment)) and not _tagged(segment):
             continue
         elif _LABEL.search(segment) and not _CODE.search(segment):
             continue

@@ -36,3 +36,22 @@ def test_languages_and_clashing_columns(spark):
     assert {r.doc_id for r in M.stuffed_pages(df).collect()} == {1000, 1001, 1002}
     assert {r.lang for r in M.thresholds(M.page_features(df)).collect()} == {"en", "de", "", M.OTHER_LANGUAGE}
     assert M.stuffed_pages(df.limit(0)).isEmpty()
+
+
+TONER = {
+    "Cyrillic": "тонер бумага картридж принтер краска лента плёнка папка ручка степлер скрепка конверт".split(), "Greek": "τόνερ χαρτί μελάνι εκτυπωτής φάκελος στυλό ταινία κουτί ετικέτα κόλλα".split(),
+    "Arabic": "حبر ورق طابعة خرطوشة قلم ملف ظرف شريط ملصق صندوق".split(), "CJK": "打印机 墨盒 硒鼓 纸张 标签 文件夹 信封 胶带 订书机 回形针".split(),
+}
+FOREIGN = [
+    "Здравствуйте, коллеги!\nСчёт за март получен, но сумма не совпадает с заказом, поэтому просим прислать исправленный.\nС уважением,\nИван Петров", GREEK * 5,
+    "وصلت البضاعة يوم الاثنين وتم تسجيلها في المستودع. لم نستلم الدفعة عن الفاتورة الأخيرة بعد.", "我们核对了两份扫描件，税号相同，但是金额不一致。请在本周内确认付款日期，并把更正后的发票发给我们。",
+    "Товар поступил на склад в понедельник и был принят без замечаний, но оплата за прошлый месяц до сих пор\nне поступила, хотя срок истёк ещё в марте, поэтому просим сообщить дату платежа как можно скорее",
+]
+
+
+def test_tags_in_any_script(spark):
+    pages = [sep.join(f"{a} {b}" if two else a for i, a in enumerate(words) for b in words[:2]) for words in TONER.values() for two in (False, True) for sep in (" | ", ", ", "\n")]
+    pages += [" ".join(f"#{w}" for w in words) for words in TONER.values()]
+    rows = [(i, text, "xx") for i, text in enumerate(pages)] + [(1000 + i, text, "xx") for i, text in enumerate(FOREIGN)] + [(2000 + i, PROSE, "en") for i in range(60)]
+    found = {r.doc_id for r in M.stuffed_pages(spark.createDataFrame(rows, "doc_id bigint, text string, lang string")).collect()}
+    assert found == set(range(len(pages)))
