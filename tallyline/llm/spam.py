@@ -42,8 +42,11 @@ FUNCTION_WORDS = frozenset(
 #: Languages whose documents are calibrated together where the tag is missing or unknown.
 OTHER_LANGUAGE = "other"
 MIN_DOCUMENTS = 50
-#: Share of a text's characters in bare and link segments from which it counts as made of them.
-SPAM_SHARE = 0.6
+#: Share of a text's characters in bare and link segments above which it counts as made of them.
+SPAM_SHARE = 0.5
+#: The same where addresses are part of them, unless most lines and sentences are links: addresses are long, a
+#: few in a short mail can make up half of its characters.
+ADDRESS_SHARE = 0.6
 
 _SEGMENTS = re.compile(r"(?<=[.!?;。！？])\s+|[\r\n]+")
 _LINK = re.compile(r"(?:https?://|ftp://|www\.)[^\s<>\"')\]]+", re.I)
@@ -68,7 +71,7 @@ _DENSE_SCRIPT = re.compile(r"[\u0e00-\u0eff\u1780-\u17ff\u3040-\u30ff\u3400-\u9f
 #: Letters of a tag or keyword on average at most; a letter of scripts without blanks between words counts as three.
 TAG_LETTERS = 22
 
-FEATURES = ("n_segments", "n_words", "spam_share", "link_share", "top_word", "top_ngram", "duplicate_lines", "separators", "function_words")
+FEATURES = ("n_segments", "n_words", "spam_share", "link_share", "top_word", "top_ngram", "duplicate_lines", "separators", "function_words", "link_lines")
 
 
 def _tagged(segment: str) -> bool:
@@ -83,7 +86,7 @@ def _tagged(segment: str) -> bool:
 def features(text: str | None) -> tuple[float, ...]:
     """The numbers of FEATURES; all 0 for a null, empty or blank text.
 
-    ``spam_share``: characters of bare and link segments among all. The other shares are measured over these segments,
+    ``spam_share``: characters of bare and link segments among all, ``link_lines``: link segments among all segments. The other shares are measured over these segments,
     ``function_words`` (function words for six characters) over the whole text.
     """
     if not text or not text.strip():
@@ -93,7 +96,7 @@ def features(text: str | None) -> tuple[float, ...]:
     words: Counter = Counter()
     bigrams: Counter = Counter()
     lines: Counter = Counter()
-    n_function = separators = 0
+    n_function = n_linked = separators = 0
     segments = [x for raw in _SEGMENTS.split(plain) if (x := raw.strip())]
     spoken = [[w.lower() for w in _WORD.findall(_LINK.sub(" ", x))] for x in segments]
     often = Counter(map(tuple, spoken))
@@ -107,6 +110,7 @@ def features(text: str | None) -> tuple[float, ...]:
         in_links = sum(map(len, _LINK.findall(segment)))
         if in_links and (in_links > 0.4 * size or functional < 2):
             linked += size
+            n_linked += 1
         elif _BUSINESS.search(segment) or sum(map(len, found)) < 0.4 * len(re.sub(r"\s", "", bare)):
             continue
         elif _QUANTITY.search(segment) and not _CODE.search(segment):
@@ -135,6 +139,7 @@ def features(text: str | None) -> tuple[float, ...]:
         sum(c - 1 for c in lines.values()) / n if n else 0.0,
         separators / max(total, n, 1) if n else 0.0,
         min(1.0, 6.0 * n_function / max(whole, 1)),
+        n_linked / max(len(segments), 1),
     )
 
 
@@ -185,8 +190,7 @@ def _verdict() -> Column:
         | (F.col("link_share") >= 0.4)
     )
     enough = (F.col("n_words") >= 8) | (F.col("n_segments") >= 3) | (F.col("link_share") >= 0.6)
-    # addresses are long: a few in a short mail can make up half of its characters
-    mostly = (F.col("spam_share") > SPAM_SHARE) | (F.col("spam_share") > 0.5) & (F.col("link_share") < 0.2) & (F.col("n_words") >= 30)
+    mostly = (F.col("spam_share") > SPAM_SHARE) & ((F.col("link_share") < 0.2) | (F.col("link_lines") > SPAM_SHARE) | (F.col("spam_share") > ADDRESS_SHARE))
     stuffed = (F.col("top_word") >= 0.5) & (F.col("top_ngram") >= 0.5)
     return mostly & enough & (repeated & (F.col("function_words") < F.col("few_function_words")) | stuffed)
 

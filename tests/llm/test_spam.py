@@ -55,3 +55,21 @@ def test_tags_in_any_script(spark):
     rows = [(i, text, "xx") for i, text in enumerate(pages)] + [(1000 + i, text, "xx") for i, text in enumerate(FOREIGN)] + [(2000 + i, PROSE, "en") for i in range(60)]
     found = {r.doc_id for r in M.stuffed_pages(spark.createDataFrame(rows, "doc_id bigint, text string, lang string")).collect()}
     assert found == set(range(len(pages)))
+
+
+LINK = "http://toner{0}.example.com/{0} cheap"
+HALF = [
+    # (text, expected): half to six tenths of the characters
+    ("\n".join(LINK.format(i) for i in range(4)) + "\nNobody in fleet remembers approving a second shipment. Late fees start after the second reminder.", True),
+    ("toner | drum | ink | paper | label | folder | binder | staple | stamp | pens\nNobody in fleet remembers approving a second shipment.", True),
+    ("Good morning,\n\nNobody in the fleet remembers approving a second shipment. Approval is still open because the cost centre was missing.\n\nLate fees start after the second reminder.\n"
+     "portal: https://ledgersale334.example.com/premium/bulk\nsee: https://www.tonerkit658.example/premium/cheap\nsee: http://facture-recycled866.test/holder/mini/refurb\n\nThanks,\nMutoli Vapuk Engineering B.V.", False),
+]
+
+
+def test_half_is_most(spark):
+    shares = [dict(zip(M.FEATURES, M.features(text)))["spam_share"] for text, _ in HALF]
+    assert all(0.5 < s < 0.6 for s in shares), shares
+    rows = [(i, PROSE, "en") for i in range(60)] + [(1000 + i, text, "en") for i, (text, _) in enumerate(HALF)]
+    found = {r.doc_id for r in M.stuffed_pages(spark.createDataFrame(rows, "doc_id bigint, text string, lang string")).collect()}
+    assert found == {1000 + i for i, (_, expected) in enumerate(HALF) if expected}
