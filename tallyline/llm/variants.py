@@ -151,7 +151,7 @@ def _keys(forms: DataFrame) -> DataFrame:
     rank = Window.partitionBy("form").orderBy("seen", F.length("part").desc(), "part")
     rare = parts.join(seen, "part").withColumn("nth", F.row_number().over(rank)).where(F.col("nth") <= RAREST).select("form", F.concat(F.lit("p"), "part").alias("key"))
     whole = forms.select("form", F.concat(F.lit("w"), F.replace("core", F.lit(" "), F.lit(""))).alias("key"))
-    short = forms.where("legal <> '' and core not like '% %' and length(core) between 2 and 4").select("form", F.concat(F.lit("a"), "core", F.lit("|"), "legal").alias("key"))
+    short = forms.where("legal <> '' and core not like '% %' and length(core) >= 2").select("form", F.concat(F.lit("a"), "core", F.lit("|"), "legal").alias("key"))
     initials = forms.where("legal <> ''").select("form", "legal", F.explode("acronyms").alias("initials"))
     initials = initials.select("form", F.concat(F.lit("a"), "initials", F.lit("|"), "legal").alias("key"))
     wanted = short.select("key").distinct()

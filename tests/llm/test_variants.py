@@ -66,3 +66,12 @@ def test_pairs(spark):
     classes = {r.vendor_name: r.n_rows for r in V.vendor_classes(df).collect()}
     assert classes == {n: k for n, k in counts.items() if n not in ("N/A", "")}
     assert V.variant_pairs(df.limit(0)).isEmpty()
+
+
+def test_long_acronyms(spark):
+    counts = {"Arvid Bumato Core Dojip Elsin GmbH": 5, "A.B.C.D.E. GmbH": 1, "ABCDE GmbH": 1, "Fehudos Gitolt Hanix Irido Jodesil Kope SARL": 4, "FGHIJK SARL": 1, "FGHIJ SARL": 1}
+    df = spark.createDataFrame([(n,) for n, k in counts.items() for _ in range(k)], "vendor_name string")
+    long, short = list(counts)[:3], list(counts)[3:5]
+    assert {"A.B.C.D.E. GmbH", "ABCDE GmbH"} < set(long)
+    got = {(r.name_a, r.name_b) for r in V.variant_pairs(df).collect()}
+    assert set(combinations(sorted(long), 2)) <= got and tuple(sorted(short)) in got
