@@ -9,13 +9,12 @@ from tallyline.functions import normalize as N
 from tallyline.plans.lineage import spread
 
 # How lines that hold a field begin, in the order in which they are tried; the fields that count.
-_END = r"\s*(.+?)\s*$"
-VENDOR = r"(?i)^\s*(?:vendor|supplier|seller|billed\s*by|from)\s*:" + _END
-NUMBER_MARKED = r"(?i)^\s*(?:invoice|inv)\s*(?:number|no\.?|#)?\s*[:#]" + _END
+VENDOR = r"(?i)^\s*(?:vendor|supplier|seller|billed\s*by|from)\s*:\s*(.+?)\s*$"
+NUMBER_MARKED = r"(?i)^\s*(?:invoice|inv)\s*(?:number|no\.?|#)?\s*[:#]\s*(.+?)\s*$"
 NUMBER_WORD = r"(?i)^\s*(?:invoice|inv)\s+(?:number|no\.?)\s+(.+?)\s*$"
-DATE = r"(?i)^\s*(?:invoice\s*)?date\s*:" + _END
-AMOUNT = r"(?i)^\s*(?:amount(?:\s*due)?|total(?:\s*amount)?|grand\s*total)\s*:" + _END
-TAX_ID = r"(?i)^\s*(?:tax\s*(?:id|no\.?|number)?|vat(?:\s*(?:id|no\.?|number))?)\s*:" + _END
+DATE = r"(?i)^\s*(?:invoice\s*)?date\s*:\s*(.+?)\s*$"
+AMOUNT = r"(?i)^\s*(?:amount(?:\s*due)?|total(?:\s*amount)?|grand\s*total)\s*:\s*(.+?)\s*$"
+TAX_ID = r"(?i)^\s*(?:tax\s*(?:id|no\.?|number)?|vat(?:\s*(?:id|no\.?|number))?)\s*:\s*(.+?)\s*$"
 CORE_FIELDS = ("vendor_name", "invoice_no", "invoice_date", "amount")
 
 

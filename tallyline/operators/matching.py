@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import math
+from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,6 +18,7 @@ REINVOICE = "reinvoice_pattern"
 MAX_BLOCK = 1000
 
 
+# Weights of the fields and all numbers of the scoring contract.
 @dataclass(frozen=True)
 class FieldWeights:
     invoice_no: float = 0.35
@@ -25,7 +27,7 @@ class FieldWeights:
     date: float = 0.10
 
     def __post_init__(self) -> None:
-        if abs(self.invoice_no + self.vendor + self.amount + self.date - 1.0) > 1e-9:
+        if not math.isclose(math.fsum(asdict(self).values()), 1.0, abs_tol=1e-9):
             raise ValueError("the weights of the fields must add up to 1")
 
 

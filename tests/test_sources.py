@@ -38,7 +38,9 @@ def test_answers(spark, answer, error):
 
 
 def test_pdf_round_trip():
-    assert documents.pdf_text(documents.make_pdf(LINES + ["(a) \\ b"])) == "\n".join(LINES + ["(a) \\ b"])
+    lines = LINES + ["(a) \\ b", "Größe 5 €"] + [f"line {i}" for i in range(100)]
+    assert documents.pdf_text(documents.make_pdf(lines)) == "\n".join(lines)
+    assert documents.pdf_text(documents.make_pdf([])) == ""
     with pytest.raises(ValueError):
         documents.pdf_text(b"hello")
 
@@ -48,6 +50,36 @@ def test_photo_round_trip(seed):
     assert images.read_text(images.make_photo(*PHOTO, seed=seed)).split("\n") == [x.upper() for x in LINES]
 
 
+def test_photos_of_many_seeds():
+    for seed in range(1, 9):
+        assert images.read_text(images.render_text([LINES[1]], seed=seed)) == LINES[1].upper()
+    assert images.read_text(images.render_text(["   "], seed=5)) == ""
+
+
+def test_row_filters_and_colours():
+    import zlib
+
+    def file(rows, kind, width, height):
+        blocks = {b"IHDR": width.to_bytes(4, "big") + height.to_bytes(4, "big") + bytes([8, kind, 0, 0, 0]), b"IDAT": zlib.compress(rows), b"IEND": b""}
+        return images.SIGNATURE + b"".join(len(b).to_bytes(4, "big") + t + b + zlib.crc32(t + b).to_bytes(4, "big") for t, b in blocks.items())
+
+    def paeth(a, b, c):
+        return min((a, b, c), key=lambda v: abs(a + b - c - v))
+
+    rng = np.random.default_rng(1)
+    for kind, step in ((0, 1), (4, 2), (2, 3), (6, 4)):
+        pixels = rng.integers(0, 256, (10, 7 * step))
+        raw = b""
+        for y in range(10):
+            up = pixels[y - 1] if y else np.zeros(7 * step, int)
+            left, corner = (np.concatenate([np.zeros(step, int), x[:-step]]) for x in (pixels[y], up))
+            guess = [0 * up, left, up, (left + up) // 2, np.array([paeth(*v) for v in zip(left, up, corner)])][y % 5]
+            raw += bytes([y % 5]) + ((pixels[y] - guess) % 256).astype(np.uint8).tobytes()
+        want = pixels.reshape(10, 7, step)
+        want = want[:, :, 0] if step < 3 else want[:, :, :3].mean(2).astype(int)
+        assert (images.read_png(file(raw, kind, 7, 10)) == want).all()
+
+
 def test_bad_images():
     png = images.write_png(np.full((20, 20), 255))
     assert images.read_text(png) == ""
