@@ -39,9 +39,16 @@ FUNCTION_WORDS = frozenset(
     # Spanish, Italian, Portuguese, Dutch
     "el los las del y o es son por para con sin que se su sus lo il gli i e di da per non che una del della al het een en van is op te met voor niet".split()
 )
-#: Languages whose documents are calibrated together where the tag is missing or unknown.
+#: All languages together.
 OTHER_LANGUAGE = "other"
-MIN_DOCUMENTS = 50
+#: Limit, by which feature of ordinary texts, at which quantile, times what.
+LIMITS = {
+    "most_top_word": ("prose_top_word", 0.9, 1.0), "most_top_ngram": ("prose_top_ngram", 0.9, 1.0), "most_duplicate_lines": ("prose_lines", 0.9, 1.0),
+    "most_separators": ("prose_separators", 0.9, 1.0), "most_link_share": ("link_share", 0.9, 1.0), "few_function_words": ("function_words", 0.75, 0.8),
+}
+#: Limits where nothing is known, and the documents that they weigh.
+PRIOR = {"most_top_word": 0.5, "most_top_ngram": 0.5, "most_duplicate_lines": 0.3, "most_separators": 0.15, "most_link_share": 0.4, "few_function_words": 0.15}
+WEIGHT = 50
 #: Share of a text's characters in bare and link segments above which it counts as made of them.
 SPAM_SHARE = 0.5
 #: The same where addresses are part of them, unless most lines and sentences are links: addresses are long, a
@@ -50,8 +57,9 @@ ADDRESS_SHARE = 0.6
 
 _SEGMENTS = re.compile(r"(?<=[.!?;。！？])\s+|[\r\n]+")
 _LINK = re.compile(r"(?:https?://|ftp://|www\.)[^\s<>\"')\]]+", re.I)
-_ANCHOR = re.compile(r"<a\s[^<>]{0,400}?((?:https?://|www\.)[^\s\"'<>]+)[^<>]{0,400}>", re.I)
-_TAG = re.compile(r"<[^<>]{0,400}>")
+# the first address is taken for good, so an unclosed tag with many addresses costs one pass
+_ANCHOR = re.compile(r"<a\s(?>[^<>]*?((?:https?://|www\.)[^\s\"'<>]+))[^<>]*+>", re.I)
+_TAG = re.compile(r"<[^<>]*>")
 _WORD = re.compile(r"[^\W\d_]+")
 _BUSINESS = re.compile(
     r"\b(?:USD|EUR|GBP|IDR|CHF|JPY)\b|[€£]|\d[.,]\d{2}\b|\b\d{1,4}[./-]\d{1,2}[./-]\d{2,4}\b"  # money, dates
@@ -72,6 +80,12 @@ _DENSE_SCRIPT = re.compile(r"[\u0e00-\u0eff\u1780-\u17ff\u3040-\u30ff\u3400-\u9f
 TAG_LETTERS = 22
 
 FEATURES = ("n_segments", "n_words", "spam_share", "link_share", "top_word", "top_ngram", "duplicate_lines", "separators", "function_words", "link_lines")
+#: The same measured over the sentences of a text: what the limits of its language are taken from.
+PROSE = ("prose_top_word", "prose_top_ngram", "prose_lines", "prose_separators")
+
+#: Where a segment of keywords may be cut: a keyword list and a sentence can share one.
+_PIECES = re.compile(r"[|•·~]|\s[/–—-]\s|,\s|\s{2,}")
+_DIGIT_OR_MONEY = re.compile(r"[\d€£]|(?:USD|EUR|GBP|IDR|CHF|JPY)", re.I)
 
 
 def _tagged(segment: str) -> bool:
@@ -83,129 +97,183 @@ def _tagged(segment: str) -> bool:
     return letters <= TAG_LETTERS * len(pieces)
 
 
+def _linked(text: str) -> bool:
+    return "://" in text or "www." in text or "WWW." in text or "Www." in text
+
+
+def _spoken(segment: str) -> tuple[str, list[str]]:
+    """The segment without addresses, and its words."""
+    bare = _LINK.sub(" ", segment) if _linked(segment) else segment
+    return bare, _WORD.findall(bare.lower())
+
+
+def _segments(plain: str) -> list[tuple[str, str, list[str], int]]:
+    """(segment, without addresses, words, function words) of lines and sentences.
+
+    A segment in which keywords run into a sentence falls into its pieces; one made of either is left whole.
+    """
+    out = []
+    for raw in _SEGMENTS.split(plain):
+        segment = raw.strip()
+        if not segment:
+            continue
+        bare, found = _spoken(segment)
+        functional = sum(map(FUNCTION_WORDS.__contains__, found))
+        if functional >= 2 and len(found) >= 12 and bare is segment:
+            pieces = [(x, *_spoken(x)) for x in map(str.strip, _PIECES.split(segment)) if x]
+            counts = [sum(map(FUNCTION_WORDS.__contains__, words)) for _, _, words in pieces]
+            # a keyword may hold one of these words ('pas cher'), a sentence holds more
+            weak = [bool(words) and (5 * c <= len(words) or c == 1 and len(words) <= 6) for c, (_, _, words) in zip(counts, pieces)]
+            if sum(weak) >= 3 and 2 * sum(weak) >= len(pieces) and max(counts) >= 2:
+                out += [(x, b, words, 0 if w else c) for (x, b, words), c, w in zip(pieces, counts, weak)]
+                continue
+        out.append((segment, bare, found, functional))
+    return out
+
+
+class _Repeats:
+    """Words, pairs of words, lines and separators of some segments of a text."""
+
+    def __init__(self) -> None:
+        self.words: Counter = Counter()
+        self.bigrams: Counter = Counter()
+        self.lines: Counter = Counter()
+        self.separators = 0
+
+    def add(self, segment: str, found: list[str]) -> None:
+        self.separators += len(_SEPARATORS.findall(segment)) + 1
+        self.words.update(found)
+        self.bigrams.update(zip(found, found[1:]))
+        self.lines[" ".join(found) or segment] += 1
+
+    def shares(self) -> tuple[float, float, float, float]:
+        """Top five words among all, repeated pairs among all, repeated lines among all, separators for each word."""
+        total, pairs, n = sum(self.words.values()), sum(self.bigrams.values()), sum(self.lines.values())
+        return (
+            sum(c for _, c in self.words.most_common(5)) / total if total >= 10 else 0.0,
+            sum(c for c in self.bigrams.values() if c > 1) / pairs if pairs >= 10 else 0.0,
+            sum(c - 1 for c in self.lines.values()) / n if n else 0.0,
+            self.separators / max(total, n, 1) if n else 0.0,
+        )
+
+
 def features(text: str | None) -> tuple[float, ...]:
-    """The numbers of FEATURES; all 0 for a null, empty or blank text.
+    """The numbers of FEATURES and PROSE; all 0 for a null, empty or blank text.
 
-    ``spam_share``: characters of bare and link segments among all, ``link_lines``: link segments among all segments. The other shares are measured over these segments,
-    ``function_words`` (function words for six characters) over the whole text.
+    ``spam_share``: characters of bare and link segments among all; ``link_lines``: link segments among all segments;
+    ``function_words``: function words in sentences for six characters of the text. The other shares are measured over
+    the bare and link segments, those of PROSE over the sentences.
     """
     if not text or not text.strip():
-        return (0.0,) * len(FEATURES)
+        return (0.0,) * (len(FEATURES) + len(PROSE))
     plain = _TAG.sub(" ", _ANCHOR.sub(r" \1 ", text)) if "<" in text else text
-    whole = kept = linked = 0
-    words: Counter = Counter()
-    bigrams: Counter = Counter()
-    lines: Counter = Counter()
-    n_function = n_linked = separators = 0
-    segments = [x for raw in _SEGMENTS.split(plain) if (x := raw.strip())]
-    spoken = [[w.lower() for w in _WORD.findall(_LINK.sub(" ", x))] for x in segments]
-    often = Counter(map(tuple, spoken))
-    for segment, found in zip(segments, spoken):
+    whole = kept = linked = n_function = n_linked = 0
+    stuffed, prose = _Repeats(), _Repeats()
+    segments = _segments(plain)
+    often = Counter(tuple(found) for _, _, found, _ in segments)
+    lead = Counter(tuple(found[:2]) for _, _, found, _ in segments if 2 < len(found) <= 8)
+    for segment, bare, found, functional in segments:
         size = len(segment)
         whole += size
-        bare = _LINK.sub(" ", segment)
-        functional = sum(w in FUNCTION_WORDS for w in found)
-        n_function += functional
-        repeating = 0 < len(found) <= 4 and often[tuple(found)] > 2 or len(found) >= 12 and len(set(found)) < 0.45 * len(found)
-        in_links = sum(map(len, _LINK.findall(segment)))
+        is_linked = bare is not segment and len(bare) < size
+        in_links = sum(map(len, _LINK.findall(segment))) if is_linked else 0
+        letters = sum(map(len, found))
         if in_links and (in_links > 0.4 * size or functional < 2):
             linked += size
             n_linked += 1
-        elif _BUSINESS.search(segment) or sum(map(len, found)) < 0.4 * len(re.sub(r"\s", "", bare)):
+        elif letters < 0.4 * len("".join(bare.split())) or (_DIGIT_OR_MONEY.search(segment) and _BUSINESS.search(segment)):
             continue
         elif _QUANTITY.search(segment) and not _CODE.search(segment):
             continue
-        elif repeating:
+        elif 0 < len(found) <= 4 and often[tuple(found)] > 2 or len(found) >= 12 and len(set(found)) < 0.45 * len(found):
             pass
+        elif 2 < len(found) <= 8 and lead[tuple(found[:2])] > 3 and not _SENTENCE_END.search(segment):
+            pass  # one frame filled in again and again
         elif functional >= 2 and functional >= 0.08 * len(found) or functional and len(found) <= 8:
+            n_function += functional
+            prose.add(segment, found)
             continue
         elif len(_LATIN.findall(segment)) < 0.5 * len(_LETTER.findall(segment)) and not _tagged(segment):
+            prose.add(segment, found)
             continue
         elif _LABEL.search(segment) and not _CODE.search(segment):
             continue
         kept += size
-        separators += len(_SEPARATORS.findall(segment)) + 1
-        words.update(found)
-        bigrams.update(zip(found, found[1:]))
-        lines[" ".join(found) or segment] += 1
-    total, pairs, n = sum(words.values()), sum(bigrams.values()), sum(lines.values())
+        stuffed.add(segment, found)
     return (
-        float(n),
-        float(total),
+        float(sum(stuffed.lines.values())),
+        float(sum(stuffed.words.values())),
         kept / max(whole, 1),
         linked / max(whole, 1),
-        sum(c for _, c in words.most_common(5)) / total if total >= 10 else 0.0,
-        sum(c for c in bigrams.values() if c > 1) / pairs if pairs >= 10 else 0.0,
-        sum(c - 1 for c in lines.values()) / n if n else 0.0,
-        separators / max(total, n, 1) if n else 0.0,
+        *stuffed.shares(),
         min(1.0, 6.0 * n_function / max(whole, 1)),
         n_linked / max(len(segments), 1),
+        *prose.shares(),
     )
 
 
 def page_features(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """``key``, ``lang`` (normalised) and FEATURES of every row."""
+    """``key``, ``lang`` (normalised), FEATURES and PROSE of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [features(t) for t in batch.column(2).to_pylist()]
-            columns = list(zip(*rows)) if rows else [[]] * len(FEATURES)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, pa.float64()) for c in columns)], names=[key, "lang", *FEATURES])
+            columns = list(zip(*rows)) if rows else [[]] * len(FEATURES + PROSE)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, pa.float64()) for c in columns)], names=[key, "lang", *FEATURES, *PROSE])
 
     # only the primary subtag counts: 'de-DE' and ' DE' are German
     language = F.coalesce(F.regexp_extract(F.lower(F.trim(F.col(lang))), r"^([a-z]{2,3})", 1), F.lit(""))
-    schema = f"`{key}` {df.schema[key].dataType.simpleString()}, lang string, " + ", ".join(f"{f} double" for f in FEATURES)
+    schema = f"`{key}` {df.schema[key].dataType.simpleString()}, lang string, " + ", ".join(f"{f} double" for f in FEATURES + PROSE)
     return spread(df.select(F.col(key), language.alias("lang"), F.col(text))).mapInArrow(run, schema)
 
 
 def thresholds(measured: DataFrame) -> DataFrame:
-    """Per language: how few function words and how dense separators are unusual among its own documents.
+    """(lang, n_docs and the columns of LIMITS): what is unusual among the ordinary texts of each language.
 
-    Quartiles of all documents with text, by sketches that merge on the map side; the numbers of languages with fewer
-    than MIN_DOCUMENTS documents are replaced by those of all documents together (language ``other``).
+    Quantiles of all documents of a language that are not mostly bare words or links (sketches that merge on the map
+    side): how repetitive and how full of separators their sentences are at most, how many links they hold, and how many
+    function words those have that are made of sentences (the upper quarter; lists of items and open invoices have few).
+    Each limit is the mean of the language's own figure, weighing as many documents as it has, of that of all documents
+    (language OTHER_LANGUAGE) and of PRIOR, which weigh WEIGHT documents each: a rare language leans on all others.
     """
-    seen = measured.where("n_segments > 0 or function_words > 0")
+    ordinary = measured.where(f"spam_share <= {SPAM_SHARE} and (n_segments > 0 or function_words > 0)")
+    names = list(LIMITS)
 
-    def sketch(df: DataFrame) -> DataFrame:
-        return df.agg(
-            F.count(F.lit(1)).alias("n_docs"),
-            F.percentile_approx("function_words", [0.25, 0.5], 1000).alias("fw"),
-            F.percentile_approx("separators", [0.5, 0.75], 1000).alias("sep"),
-        )
+    def own(df: DataFrame) -> DataFrame:
+        at = {n: F.percentile_approx(c, q, 1000) * scale for n, (c, q, scale) in LIMITS.items()}
+        return df.agg(F.count(F.lit(1)).alias("n_docs"), *(x.alias(n) for n, x in at.items()))
 
-    both = sketch(seen.groupBy("lang")).where(F.col("n_docs") >= MIN_DOCUMENTS).unionByName(sketch(seen.groupBy(F.lit(OTHER_LANGUAGE).alias("lang"))))
-    return both.select(
-        "lang",
-        F.least(F.lit(0.2), F.greatest(F.lit(0.12), F.col("fw")[1])).alias("few_function_words"),
-        F.least(F.lit(0.2), F.greatest(F.lit(0.1), F.col("sep")[0])).alias("dense"),
-    )
+    every = own(ordinary.groupBy(F.lit(OTHER_LANGUAGE).alias("lang")))
+    every = measured.sparkSession.range(1).select(F.lit(OTHER_LANGUAGE).alias("lang")).join(every, "lang", "left")  # one row, of no documents too
+
+    def leaning(n: Column, own: Column, prior: Column) -> Column:
+        return (F.coalesce(n * own, F.lit(0.0)) + WEIGHT * prior) / (F.coalesce(n, F.lit(0)) + WEIGHT)
+
+    rest = every.select("lang", F.coalesce("n_docs", F.lit(0)).alias("n_docs"), *(leaning(F.col("n_docs"), F.col(n), F.lit(PRIOR[n])).alias(n) for n in names))
+    prior = rest.select(F.struct(*names).alias("x")).scalar()
+    each = own(ordinary.groupBy("lang")).select("lang", "n_docs", *(leaning(F.col("n_docs"), F.col(n), prior[n]).alias(n) for n in names))
+    return each.unionByName(rest)
 
 
 def _verdict() -> Column:
-    repeated = (
-        (F.col("top_word") >= 0.5)
-        | (F.col("top_ngram") >= 0.5)
-        | (F.col("duplicate_lines") >= 0.3)
-        | (F.col("separators") >= F.col("dense"))
-        | (F.col("link_share") >= 0.4)
-    )
+    repeated = F.lit(False)
+    for feature in ("top_word", "top_ngram", "duplicate_lines", "separators", "link_share"):
+        repeated = repeated | (F.col(feature) > F.col(f"most_{feature}"))
     enough = (F.col("n_words") >= 8) | (F.col("n_segments") >= 3) | (F.col("link_share") >= 0.6)
     mostly = (F.col("spam_share") > SPAM_SHARE) & ((F.col("link_share") < 0.2) | (F.col("link_lines") > SPAM_SHARE) | (F.col("spam_share") > ADDRESS_SHARE))
-    stuffed = (F.col("top_word") >= 0.5) & (F.col("top_ngram") >= 0.5)
-    return mostly & enough & (repeated & (F.col("function_words") < F.col("few_function_words")) | stuffed)
+    return mostly & enough & repeated & (F.col("function_words") <= F.col("few_function_words"))
 
 
 def stuffed_pages(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """``key`` of the documents most of whose text is repeated keywords, links or product tags.
 
-    Null, empty and blank texts are none. Tags of languages are read without case and region; null and rare ones are
-    judged by the thresholds of all documents. The table of thresholds has a row for each language with MIN_DOCUMENTS
-    documents and is joined by broadcast: two letters to three make at most 18,252 of them.
+    Null, empty and blank texts are none. Tags of languages are read without case and region; a language of which no
+    ordinary text is there is judged by the limits of all documents. The table of limits has a row for each language and
+    is joined by broadcast: two letters to three make at most 18,252 of them.
     """
     measured = Scratch(df.sparkSession, "pages").keep(page_features(df, key, text, lang))
-    limits = thresholds(measured)
-    known = limits.select(F.col("lang").alias("known"), "few_function_words", "dense")
-    rest = known.where(F.col("known") == OTHER_LANGUAGE).select(F.col("few_function_words").alias("few_rest"), F.col("dense").alias("dense_rest"), F.lit(1).alias("one"))
-    judged = measured.join(F.broadcast(known), F.col("lang") == F.col("known"), "left").withColumn("one", F.lit(1)).join(F.broadcast(rest), "one", "left")
-    judged = judged.withColumn("few_function_words", F.coalesce("few_function_words", "few_rest")).withColumn("dense", F.coalesce("dense", "dense_rest"))
+    limits = Scratch(df.sparkSession, "limits").keep(thresholds(measured))
+    rest = limits.where(F.col("lang") == OTHER_LANGUAGE).select(F.struct(*LIMITS).alias("x")).scalar()
+    known = limits.where(F.col("lang") != OTHER_LANGUAGE).select("lang", F.struct(*LIMITS).alias("known"))
+    judged = measured.join(F.broadcast(known), "lang", "left").withColumns({n: F.coalesce(F.col("known")[n], rest[n]) for n in LIMITS})
     return judged.where(_verdict()).select(key)

@@ -30,11 +30,23 @@ def test_pages(spark):
     assert found == {1000 + i for i, (_, expected) in enumerate(CASES) if expected}
 
 
+def test_long_texts_take_one_pass():
+    import time
+
+    began = time.perf_counter()
+    for text in ("<a " + "http://x.y/z " * 20_000, "<" * 100_000, PROSE + " " * 200_000 + KEYWORDS, "a, " * 100_000, "the of " + "x |  " * 50_000):
+        M.features(text)
+    assert time.perf_counter() - began < 20
+
+
 def test_languages_and_clashing_columns(spark):
     rows = [(i, PROSE, lang, 1.0, "x") for i, lang in enumerate(["en", " EN-us ", "De", None, "", "??"] * 60)] + [(1000 + i, KEYWORDS, lang, 1.0, "x") for i, lang in enumerate(["en", None, "xx"])]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, spam_share double, dense string")
     assert {r.doc_id for r in M.stuffed_pages(df).collect()} == {1000, 1001, 1002}
-    assert {r.lang for r in M.thresholds(M.page_features(df)).collect()} == {"en", "de", "", M.OTHER_LANGUAGE}
+    limits = {r.lang: r for r in M.thresholds(M.page_features(df)).collect()}
+    assert set(limits) == {"en", "de", "", M.OTHER_LANGUAGE} and limits["en"].n_docs == 120
+    empty = M.thresholds(M.page_features(df.limit(0))).collect()
+    assert [(r.lang, r.n_docs) for r in empty] == [(M.OTHER_LANGUAGE, 0)] and all(empty[0][n] == x for n, x in M.PRIOR.items())
     assert M.stuffed_pages(df.limit(0)).isEmpty()
 
 
@@ -57,6 +69,24 @@ def test_tags_in_any_script(spark):
     assert found == set(range(len(pages)))
 
 
+def test_sentences_among_keywords_and_frames(spark):
+    """Keywords that run into sentences, one frame filled in again and again, long attributes of links."""
+    rng = random.Random(3)
+    words = {"en": ["printer ink sale", "cheap toner", "tax refund", "invoice app", "late fee calculator"], "fr": ["encre pas cher", "devis en ligne", "papier A4 promo", "crédit pro", "relance impayé"]}
+    sentences = {"en": "We hold the payment until the lab department has answered.", "fr": "Si vous avez déjà payé, merci de ne pas tenir compte de cette relance."}
+    pages = []
+    for lang in words:
+        keywords = lambda n: "".join(rng.choice(words[lang]) + rng.choice([", ", " / ", " "]) for _ in range(n))  # noqa: B023, E731
+        pages += [(f"{sentences[lang]} {keywords(40)}{sentences[lang]} {keywords(40)}", lang), (f"{sentences[lang]} {keywords(60)}{sentences[lang]}", lang)]
+    towns = ["".join(rng.choice("bdfgklmn") + rng.choice("aeiou") for _ in range(3)).title() for _ in range(40)]
+    pages += [("\n".join(f"invoice template free in {t}" for t in towns), "en"), (" | ".join(f"debt collector in {t}" for t in towns), "en"), ("\n".join(f"tinta murah di {t}" for t in towns), "id")]
+    pages += [("\n".join(f'<a class="{"x" * 900}" href="https://ink{i}.example.org/x" title="{"y" * 900}">cheap ink</a>' for i in range(15)), "en")]
+    ordinary = [(PROSE if i % 2 else ITEMS, lang) for i in range(60) for lang in ("en", "fr", "id")]
+    rows = [(i, *x) for i, x in enumerate(pages)] + [(1000 + i, *x) for i, x in enumerate(ordinary)]
+    found = {r.doc_id for r in M.stuffed_pages(spark.createDataFrame(rows, "doc_id bigint, text string, lang string")).collect()}
+    assert found == set(range(len(pages)))
+
+
 LINK = "http://toner{0}.example.com/{0} cheap"
 HALF = [
     # (text, expected): half to six tenths of the characters
