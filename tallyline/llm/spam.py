@@ -44,7 +44,7 @@ OTHER_LANGUAGE = "other"
 #: Limit, by which feature of ordinary texts, at which quantile, times what.
 LIMITS = {
     "most_top_word": ("prose_top_word", 0.9, 1.0), "most_top_ngram": ("prose_top_ngram", 0.9, 1.0), "most_duplicate_lines": ("prose_lines", 0.9, 1.0),
-    "most_separators": ("prose_separators", 0.9, 1.0), "most_link_share": ("link_share", 0.9, 1.0), "few_function_words": ("function_words", 0.75, 0.8),
+    "most_separators": ("prose_separators", 0.75, 1.0), "most_link_share": ("link_share", 0.9, 1.0), "few_function_words": ("function_words", 0.75, 0.8),
 }
 #: Limits where nothing is known, and the documents that they weigh.
 PRIOR = {"most_top_word": 0.5, "most_top_ngram": 0.5, "most_duplicate_lines": 0.3, "most_separators": 0.15, "most_link_share": 0.4, "few_function_words": 0.15}
@@ -69,7 +69,7 @@ _BUSINESS = re.compile(
 #: An item with its quantity at either end, and a labelled value: business unless a product code follows.
 _QUANTITY = re.compile(r"^\W*\d{1,3}\s*[x×]?\s+\D|[(,;]\s*\d{1,3}\)?\s*$", re.I)
 _LABEL = re.compile(r"^[^:\n]{2,30}:\s*\S")
-_SEPARATORS = re.compile(r"[|/*,;#>\n•·~_+]|\s-\s|\s{2,}")
+_SEPARATORS = re.compile(r"[|*;#>•·~+]|,(?!\d)|[_/]\s|\s[–—-]\s|\s{2,}")
 _CODE = re.compile(r"\b(?:sku|art|ref|ean|asin)\W*\d{3,}|\b\d{4,}\s*$", re.I)
 _LATIN = re.compile(r"[A-Za-zÀ-ɏ]")
 _LETTER = re.compile(r"[^\W\d_]")
@@ -141,7 +141,8 @@ class _Repeats:
         self.separators = 0
 
     def add(self, segment: str, found: list[str]) -> None:
-        self.separators += len(_SEPARATORS.findall(segment)) + 1
+        # a line that doesn't end as a sentence is set apart by its end
+        self.separators += len(_SEPARATORS.findall(segment)) + (_SENTENCE_END.search(segment) is None)
         self.words.update(found)
         self.bigrams.update(zip(found, found[1:]))
         self.lines[" ".join(found) or segment] += 1
@@ -177,22 +178,22 @@ def features(text: str | None) -> tuple[float, ...]:
         whole += size
         is_linked = bare is not segment and len(bare) < size
         in_links = sum(map(len, _LINK.findall(segment))) if is_linked else 0
-        letters = sum(map(len, found))
+        again = 0 < len(found) <= 4 and often[tuple(found)] > 2 or len(found) >= 12 and len(set(found)) < 0.45 * len(found)
+        # one frame filled in again and again
+        again = again or 2 < len(found) <= 8 and lead[tuple(found[:2])] > 3 and not _SENTENCE_END.search(segment)
         if in_links and (in_links > 0.4 * size or functional < 2):
             linked += size
             n_linked += 1
-        elif letters < 0.4 * len("".join(bare.split())) or (_DIGIT_OR_MONEY.search(segment) and _BUSINESS.search(segment)):
+        elif not again and (functional >= 2 and functional >= 0.08 * len(found) or functional and len(found) <= 8):
+            n_function += functional
+            prose.add(segment, found)
+            continue
+        elif sum(map(len, found)) < 0.4 * (len(bare) - bare.count(" ")) or (_DIGIT_OR_MONEY.search(segment) and _BUSINESS.search(segment)):
             continue
         elif _QUANTITY.search(segment) and not _CODE.search(segment):
             continue
-        elif 0 < len(found) <= 4 and often[tuple(found)] > 2 or len(found) >= 12 and len(set(found)) < 0.45 * len(found):
+        elif again:
             pass
-        elif 2 < len(found) <= 8 and lead[tuple(found[:2])] > 3 and not _SENTENCE_END.search(segment):
-            pass  # one frame filled in again and again
-        elif functional >= 2 and functional >= 0.08 * len(found) or functional and len(found) <= 8:
-            n_function += functional
-            prose.add(segment, found)
-            continue
         elif len(_LATIN.findall(segment)) < 0.5 * len(_LETTER.findall(segment)) and not _tagged(segment):
             prose.add(segment, found)
             continue
@@ -243,16 +244,14 @@ def thresholds(measured: DataFrame) -> DataFrame:
         at = {n: F.percentile_approx(c, q, 1000) * scale for n, (c, q, scale) in LIMITS.items()}
         return df.agg(F.count(F.lit(1)).alias("n_docs"), *(x.alias(n) for n, x in at.items()))
 
-    every = own(ordinary.groupBy(F.lit(OTHER_LANGUAGE).alias("lang")))
-    every = measured.sparkSession.range(1).select(F.lit(OTHER_LANGUAGE).alias("lang")).join(every, "lang", "left")  # one row, of no documents too
-
-    def leaning(n: Column, own: Column, prior: Column) -> Column:
-        return (F.coalesce(n * own, F.lit(0.0)) + WEIGHT * prior) / (F.coalesce(n, F.lit(0)) + WEIGHT)
+    def leaning(n, mine, prior):
+        return (n * mine + WEIGHT * prior) / (n + WEIGHT)
 
-    rest = every.select("lang", F.coalesce("n_docs", F.lit(0)).alias("n_docs"), *(leaning(F.col("n_docs"), F.col(n), F.lit(PRIOR[n])).alias(n) for n in names))
-    prior = rest.select(F.struct(*names).alias("x")).scalar()
-    each = own(ordinary.groupBy("lang")).select("lang", "n_docs", *(leaning(F.col("n_docs"), F.col(n), prior[n]).alias(n) for n in names))
-    return each.unionByName(rest)
+    rest = own(ordinary).first()  # one row of numbers
+    every = {n: leaning(rest["n_docs"], rest[n] or 0.0, PRIOR[n]) for n in names}
+    each = own(ordinary.groupBy("lang")).select("lang", "n_docs", *(leaning(F.col("n_docs"), F.col(n), F.lit(every[n])).alias(n) for n in names))
+    schema = "lang string, n_docs bigint, " + ", ".join(f"{n} double" for n in names)
+    return each.unionByName(measured.sparkSession.createDataFrame([(OTHER_LANGUAGE, rest["n_docs"], *every.values())], schema))
 
 
 def _verdict() -> Column:
@@ -272,8 +271,8 @@ def stuffed_pages(df: DataFrame, key: str = "doc_id", text: str = "text", lang:
     is joined by broadcast: two letters to three make at most 18,252 of them.
     """
     measured = Scratch(df.sparkSession, "pages").keep(page_features(df, key, text, lang))
-    limits = Scratch(df.sparkSession, "limits").keep(thresholds(measured))
-    rest = limits.where(F.col("lang") == OTHER_LANGUAGE).select(F.struct(*LIMITS).alias("x")).scalar()
+    limits = thresholds(measured)
+    rest = limits.where(F.col("lang") == OTHER_LANGUAGE).first()  # one row of numbers
     known = limits.where(F.col("lang") != OTHER_LANGUAGE).select("lang", F.struct(*LIMITS).alias("known"))
-    judged = measured.join(F.broadcast(known), "lang", "left").withColumns({n: F.coalesce(F.col("known")[n], rest[n]) for n in LIMITS})
+    judged = measured.join(F.broadcast(known), "lang", "left").withColumns({n: F.coalesce(F.col("known")[n], F.lit(rest[n])) for n in LIMITS})
     return judged.where(_verdict()).select(key)

@@ -81,6 +81,7 @@ def test_sentences_among_keywords_and_frames(spark):
     towns = ["".join(rng.choice("bdfgklmn") + rng.choice("aeiou") for _ in range(3)).title() for _ in range(40)]
     pages += [("\n".join(f"invoice template free in {t}" for t in towns), "en"), (" | ".join(f"debt collector in {t}" for t in towns), "en"), ("\n".join(f"tinta murah di {t}" for t in towns), "id")]
     pages += [("\n".join(f'<a class="{"x" * 900}" href="https://ink{i}.example.org/x" title="{"y" * 900}">cheap ink</a>' for i in range(15)), "en")]
+    pages += [("Keywords: " + ",".join(f"{rng.choice('ink pen drum desk label'.split())} {rng.choice('kit box sale bulk pro'.split())}" for _ in range(60)), "en")]
     ordinary = [(PROSE if i % 2 else ITEMS, lang) for i in range(60) for lang in ("en", "fr", "id")]
     rows = [(i, *x) for i, x in enumerate(pages)] + [(1000 + i, *x) for i, x in enumerate(ordinary)]
     found = {r.doc_id for r in M.stuffed_pages(spark.createDataFrame(rows, "doc_id bigint, text string, lang string")).collect()}
