@@ -1,89 +1,122 @@
 """Checking new batches against all history by content-defined chunks.
 
-A record's number becomes a short byte stream in which look-alike letters, case, punctuation, zeros and words added in
-passing don't count: all of it, its digits as written, and these with their parts sorted. A rolling hash over two bytes puts boundaries where the *content*
-says so, hence an inserted, lost or moved part leaves the other chunks as they are. The persistent table has a row
-(chunk key, record) for every chunk of every accepted record; the key also takes in the vendor's class and the amount's
-band, so a chunk leads to the few records that could match at all.
-
-A new record looks up only its rarest chunks: as many as any record sharing ``COVERAGE`` of its bytes must have one of.
-Chunks that thousands of numbers of a vendor share (a prefix and a year) are thus never followed, however long their
-lists. Numbers written glued and with their parts moved can share no chunk at all, so the sorted signs of a number are
-chunks of their own, each covering all of it: whatever the exact comparison of the numbers accepts shares one of these,
-and that comparison alone decides.
-
-Equal records (vendor, amount, number as written without case and punctuation) are one record with its earliest batch:
+A record's number becomes byte streams in which neither look-alike letters, case, punctuation nor the order of parts
+count: its signs sorted, the same without words added in passing, and its digits but zeros, sorted. A rolling hash over
+two bytes is taken along each stream, and a boundary follows wherever it is smaller than at the bytes around: the *content*
+says where, so a sign more or less moves the boundaries next to it and no others. The persistent table has a row (key,
+record) for every chunk of every accepted record; the key also takes in the vendor and the amount's band, so a chunk
+leads to the few records that could match at all.
+
+A new record follows its rarest chunks only: as many as any record sharing ``COVERAGE`` of a stream's bytes must have one
+of. Chunks that thousands of numbers share are thus never followed, however long their lists; how long they are stands
+in a table of counts beside the chunks. For the records met, the bytes of shared chunks are added up, and those covered
+to ``COVERAGE`` in one of the streams are compared exactly. Whatever the exact comparison accepts agrees in one stream
+altogether, hence is covered whole: no such pair is lost.
+
+Equal records (vendor, amount, number as written without case and punctuation) are one record with its first batch:
 copies, though they be a third of the table, have one entry, and are looked up once.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from itertools import groupby
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tallyline.llm.formatting import spells
 from tallyline.llm.texts import missing
 from tallyline.llm.variants import vendor_classes
 from tallyline.plans.lineage import Scratch
+from tallyline.sources.store import Store
 
-#: Share of a stream's bytes that a chunk looked up and those after it must exceed.
-COVERAGE = 0.5
+#: Share of a stream's bytes in shared chunks from which two numbers are compared.
+COVERAGE = 0.8
 #: Lists of a chunk up to this length count as equally rare.
 SHORT_LIST = 16
+#: A boundary has the smallest rolling hash of so many bytes before and after it; no chunk but a whole stream is shorter than that.
+REACH = 3
 #: Amounts may differ by one in a hundred of the larger.
 TOLERANCE = 0.01
 #: Width of an amount band as a logarithm: amounts within the tolerance are in one band or two adjacent ones.
 BAND = 0.0202
-#: Look-alike characters (letter and the digit it is read as), and words added to a number in passing.
-LOOKALIKES = ("ilsbzgo0", "115826")
+#: Keys or pairs up to which they are broadcast to the tables of the history; beyond, the join shuffles.
+BROADCAST_ROWS = 1_000_000
+#: Parts of the tables by key: what no key of a batch falls into isn't read.
+BUCKETS = 8
+#: Words added to a number in passing; look-alike letters and the digits they are read as.
 INCIDENTAL = frozenset("copy kopie copie copia salinan duplicate duplicata duplikat dup scan scanned orig original rev revised resend resent 2nd second final draft page".split())
-
-#: The streams of a number.
-VIEWS = ("whole", "written", "ordered")
-SIGNATURES = ("every", "signs", "digits")
 _FOLD = str.maketrans("ilsbzgo", "1158260")
+
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 
-def chunk_batch(streams: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def chunk_batch(streams: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(stream, hash, bytes) of every chunk of the streams, all at once.
 
-    A boundary follows a byte if the hash of it and its predecessor is even, unless the byte before already has one. A chunk's
-    hash is a difference of the running polynomial hash, scaled back to the chunk's beginning.
+    A boundary follows a byte whose rolling hash (of it and its predecessor) is smaller than those of the REACH bytes
+    before it and not larger than those of the REACH bytes after it. A chunk's hash is a difference of the running
+    polynomial hash, scaled back to the chunk's beginning.
     """
-    data = np.frombuffer("".join(streams).encode("ascii", "replace"), np.uint8)
-    lengths = np.array([len(s) for s in streams], np.int64)
+    data = np.frombuffer(b"".join(streams), np.uint8)
     n = len(data)
     if not n:
         empty = np.empty(0, np.int64)
         return empty, empty, empty
-    owner = np.repeat(np.arange(len(streams)), lengths)
-    window = (np.append(np.uint32(0), data[:-1].astype(np.uint32)) * np.uint32(0x01000193) ^ data) * np.uint32(0x85EBCA6B)
-    cut = (window >> np.uint32(13)) & np.uint32(1) == 0
+    owner = np.repeat(np.arange(len(streams)), [len(s) for s in streams])
     first = np.append(True, owner[1:] != owner[:-1])
-    cut &= ~first
-    cut[1:] &= ~cut[:-1]
+    before = np.append(np.uint8(0), data[:-1]).astype(np.uint32)
+    before[first] = 0
+    rolled = ((before * np.uint32(0x01000193)) ^ data) * np.uint32(0x85EBCA6B)
+    rolled ^= rolled >> np.uint32(13)
+    cut = ~first
+    cut[:REACH] = cut[-REACH:] = False
+    for d in range(1, min(REACH, n - 1) + 1):
+        same = owner[d:] == owner[:-d]  # no boundary so near either end of a stream
+        cut[d:] &= same & (rolled[d:] < rolled[:-d])
+        cut[:-d] &= same & (rolled[:-d] <= rolled[d:])
     ends = np.flatnonzero(cut | np.append(first[1:], True))
     begins = np.append(0, ends[:-1] + 1)
     with np.errstate(over="ignore"):
         powers = np.cumprod(np.full(n, _BASE))
         scaled = np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers)
         back = np.cumprod(np.full(n, _INVERSE))
-        before = np.where(begins > 0, scaled[begins - 1], np.uint64(0))
-        hashes = (scaled[ends] - before) * back[begins]
+        ahead = np.where(begins > 0, scaled[begins - 1], np.uint64(0))
+        hashes = (scaled[ends] - ahead) * back[begins]
     size = ends - begins + 1
     hashes ^= size.astype(np.uint64) << np.uint64(56)
     return owner[ends], hashes.view(np.int64), size
 
 
+def streams_of(form: str) -> list[bytes]:
+    """The different streams of a number (lower-case parts joined by blanks): all signs, those of the parts that are no
+    words added in passing (look-alikes as digits), and the digits as written but zeros; each sorted, none empty."""
+    parts = form.split()
+    kept = "".join(p for p in parts if p not in INCIDENTAL)
+    found = ("".join(parts).translate(_FOLD), kept.translate(_FOLD), "".join(c for c in kept if c in "123456789"))
+    return list(dict.fromkeys("".join(sorted(x)).encode() for x in found if x))
+
+
+def chunks_of(forms: list[str]) -> list[list[dict[int, int]]]:
+    """For each number and each of its streams the hashes of its chunks and their bytes (a repeated chunk's together)."""
+    streams = [streams_of(f) for f in forms]
+    out: list[list[dict[int, int]]] = [[{} for _ in s] for s in streams]
+    flat = [held for s in out for held in s]
+    for owner, h, n in zip(*(x.tolist() for x in chunk_batch([x for s in streams for x in s]))):
+        flat[owner][h] = flat[owner].get(h, 0) + n
+    return out
+
+
+def coverage(a: list[dict[int, int]], b: list[dict[int, int]]) -> float:
+    """Bytes of shared chunks by those of the longer stream, in the two streams where that is highest."""
+    return max((sum(min(n, y[h]) for h, n in x.items() if h in y) / max(sum(x.values()), sum(y.values())) for x in a for y in b), default=0.0)
+
+
 def _zeroless(parts: list[str], target: str) -> bool:
     """Whether the parts without leading zeros, in some order, spell ``target`` when zeros between them are skipped."""
     target = target.lstrip("0")
@@ -130,163 +163,226 @@ def same_invoice_number(a: str, b: str) -> bool:
     return sorted(sa) == sorted(sb) or _zeroless(sa, "".join(db)) or _zeroless(sb, "".join(da))
 
 
-@F.pandas_udf(T.BooleanType())
-def _same_number(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([same_invoice_number(x, y) for x, y in zip(a, b)], dtype="bool")
-
-
 def number_form(no: Column) -> Column:
     """Lower-case parts joined by blanks."""
     return F.trim(F.regexp_replace(F.lower(no), r"[^\p{L}\p{N}]+", " "))
 
 
-def _streams(form: str) -> tuple[Column, Column, Column]:
-    """The byte streams of a number: all of it, the digits as written, the digits with their parts sorted.
+def usable_rows(invoices: DataFrame) -> DataFrame:
+    """Rows that can be cases: (id, vendor_name, form, amount, batch_no)."""
+    usable = ~missing(F.col("vendor_name")) & ~missing(F.col("invoice_no")) & (F.col("amount") != 0) & F.col("batch_no").isNotNull()
+    return invoices.where(usable).select("id", "vendor_name", number_form(F.col("invoice_no")).alias("form"), "amount", "batch_no")
 
-    Words at either end of a part and letters that resemble no digit are left out, unless nothing else remains. In the
-    sorted stream a year at the head of a long digit string is a part of its own.
-    """
-    parts = F.filter(F.split(form, " "), lambda x: ~x.isin(*INCIDENTAL))
-    digits = F.transform(parts, lambda x: F.translate(F.regexp_replace(x, r"^\p{L}{2,}|\p{L}{2,}$", ""), "ilsbzgo", "1158260"))
-    digits = F.transform(digits, lambda x: F.regexp_replace(x, "[^0-9]", ""))
-    apart = F.split(F.array_join(F.transform(digits, lambda x: F.regexp_replace(x, r"^((?:19|20)\d\d)(\d{4,})$", "$1 $2")), " "), " ")
-    written, ordered = (F.replace(x, F.lit("0"), F.lit("")) for x in (F.array_join(digits, ""), F.array_join(F.array_sort(F.transform(apart, lambda x: F.regexp_replace(x, "^0+", ""))), "")))
-    whole = F.translate(F.when(F.size(parts) > 0, F.array_join(parts, "")).otherwise(F.replace(form, F.lit(" "), F.lit(""))), *LOOKALIKES)
-    return whole, F.when(written != "", written).otherwise(whole), F.when(ordered != "", ordered).otherwise(whole)
 
+def record_of() -> Column:
+    return F.xxhash64("vendor", "form", "amount")
 
-def _signatures(form: str) -> list[Column]:
-    """Hashes of the sorted signs of a number with look-alikes folded: of all parts, without words added in passing, and
-    of the digits as written but zeros (null if there are none).
 
-    The exact comparison can only succeed where one of the three is equal.
-    """
-    kept = F.array_join(F.filter(F.split(form, " "), lambda x: ~x.isin(*INCIDENTAL)), "")
-    every, signs = (F.translate(x, "ilsbzgo", "1158260") for x in (F.replace(form, F.lit(" "), F.lit("")), kept))
-    digits = F.regexp_replace(kept, "[^1-9]", "")
-    hashes = [F.xxhash64(F.array_join(F.array_sort(F.split(x, "")), "")) for x in (every, signs, digits)]
-    return [x.alias(name) for x, name in zip((*hashes[:2], F.when(digits != "", hashes[2])), SIGNATURES)]
+def _band(amount: Column) -> Column:
+    return F.floor(F.log(F.abs(amount.cast("double"))) / BAND).cast("int")
 
 
-def records(invoices: DataFrame, classes: DataFrame) -> DataFrame:
-    """Rows that can be cases: (id, vendor, form, amount, batch_no). ``classes``: vendor_name and its vendor."""
-    usable = ~missing(F.col("vendor_name")) & ~missing(F.col("invoice_no")) & (F.col("amount") != 0) & F.col("batch_no").isNotNull()
-    rows = invoices.where(usable).select("id", "vendor_name", number_form(F.col("invoice_no")).alias("form"), "amount", "batch_no")
-    return rows.join(classes.select("vendor_name", "vendor"), "vendor_name").select("id", F.xxhash64("vendor").alias("vendor"), "form", "amount", "batch_no")
+def _key(vendor: str = "vendor") -> Column:
+    return F.xxhash64(vendor, F.signum("amount"), "band", "h")
 
 
-def _chunked(df: DataFrame) -> DataFrame:
-    """Adds VIEWS: for each stream the chunks' hashes and sizes."""
+def _bucket(key: str) -> Column:
+    return F.pmod(F.col(key), F.lit(BUCKETS)).cast("int").alias("bucket")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            streams = [batch.column(k).to_pylist() for k in (1, 2, 3)]
-            views = []
-            for s in streams:
-                owner, hashes, sizes = chunk_batch(s)
-                offsets = np.searchsorted(owner, np.arange(len(s) + 1)).astype(np.int32)
-                pairs = pa.StructArray.from_arrays([pa.array(hashes, pa.int64()), pa.array(sizes, pa.int32())], names=["h", "n"])
-                views.append(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pairs))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *views], names=["record", *VIEWS])
-
-    # what other scripts have is kept apart by its code points
-    ascii_ = [F.when(c.rlike("^[ -~]*$"), c).otherwise(F.hex(c)) for c in _streams("form")]
-    chunks = "array<struct<h:bigint,n:int>>"
-    made = df.select("record", *(c.alias(f"_{v}") for v, c in zip(VIEWS, ascii_))).mapInArrow(run, "record bigint, " + ", ".join(f"{v} {chunks}" for v in VIEWS))
-    return df.join(made, "record")
 
+_CHUNKS = "array<struct<stream:int,h:bigint,n:int,total:int>>"
 
-def _band(amount: Column) -> Column:
-    return F.floor(F.log(F.abs(amount.cast("double"))) / BAND).cast("int")
 
+def _chunked(records: DataFrame) -> DataFrame:
+    """Adds ``chunks``: those of all streams of ``form``."""
+    names = records.columns
 
-def _entries(df: DataFrame, bands: Column, *keep: str) -> DataFrame:
-    """(record, view, band, n, total, key) of every chunk of every view and of every signature; equal views count once."""
-    whole = (F.when(F.col(x).isNotNull(), F.struct(F.array(F.struct(F.col(x).alias("h"), F.lit(1).alias("n"))).alias("chunks"))) for x in SIGNATURES)
-    views = F.array_distinct(F.array_compact(F.array(*(F.struct(F.col(v).alias("chunks")) for v in VIEWS), *whole)))
-    out = df.select("record", "vendor", F.signum("amount").alias("sign"), *keep, F.explode(bands).alias("band"), F.posexplode(views).alias("view", "x"))
-    out = out.withColumn("chunks", F.array_distinct("x.chunks"))
-    total = F.aggregate("chunks", F.lit(0), lambda s, x: s + x["n"])
-    out = out.select("record", "vendor", "sign", *keep, "band", "view", total.alias("total"), F.inline("chunks"))
-    return out.withColumn("key", F.xxhash64("vendor", "sign", "band", "h"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [
+                [{"stream": i, "h": h, "n": n, "total": total} for i, held in enumerate(streams) for total in (sum(held.values()),) for h, n in held.items()]
+                for streams in chunks_of(batch.column("form").to_pylist())
+            ]
+            kind = pa.list_(pa.struct([("stream", pa.int32()), ("h", pa.int64()), ("n", pa.int32()), ("total", pa.int32())]))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, kind)], names=[*names, "chunks"])
 
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in records.schema)
+    return records.mapInArrow(run, f"{schema}, chunks {_CHUNKS}")
 
-class ChunkIndex:
-    """The persistent table of accepted records and their chunks, in ``path`` (a folder all executors share).
 
-    ``records``: (record, vendor, form, amount, first_batch, last_batch and VIEWS); ``chunks``: (key, record, amount,
-    first_batch and SIGNATURES). Both only ever grow, by files: a batch costs what it brings in, history isn't rewritten.
-    """
+def _compared(pairs: DataFrame) -> DataFrame:
+    """(record, first_batch) of the pairs (record, form, other_form, first_batch) covered enough and equal by comparison."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            mine, other = batch.column("form").to_pylist(), batch.column("other_form").to_pylist()
+            forms = list(dict.fromkeys(mine + other))
+            chunks = dict(zip(forms, chunks_of(forms)))
+            keep = pa.array([a == b or coverage(chunks[a], chunks[b]) >= COVERAGE and same_invoice_number(a, b) for a, b in zip(mine, other)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column("record").filter(keep), batch.column("first_batch").filter(keep)], names=["record", "first_batch"])
+
+    return pairs.select("record", "form", "other_form", "first_batch").mapInArrow(run, "record bigint, first_batch int")
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
 
-    def _read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{name}")
+class ChunkIndex:
+    """The persistent tables of accepted records, in ``path`` (a folder all executors share).
 
-    def append(self, rows: DataFrame) -> None:
-        """Accept the records of ``rows`` (vendor, form, amount, batch_no); equal ones become one with its first batch."""
-        new = rows.groupBy("vendor", "form", "amount").agg(F.min("batch_no").alias("first_batch"), F.max("batch_no").alias("last_batch"))
-        chunked = _chunked(new.withColumn("record", F.xxhash64("vendor", "form", "amount")))
-        chunked.write.mode("append").parquet(f"{self.path}/records")
-        # what was written is read back: the records of this call are those that have no chunks yet
-        mine = self._read("records") if not self._has("chunks") else self._read("records").join(new.select("vendor", "form", "amount"), ["vendor", "form", "amount"], "left_semi")
-        entries = _entries(mine.select("*", *_signatures("form")), F.array(_band(F.col("amount"))), "amount", "first_batch", *SIGNATURES)
-        entries.select("key", "record", "amount", "first_batch", *SIGNATURES).distinct().write.mode("append").parquet(f"{self.path}/chunks")
+    ``names``: (vendor_name, vendor), the vendor's number that a name got when it was first seen and keeps;
+    ``records``: (record, vendor, form, amount, first_batch); ``chunks``: (key, record); ``counts``: (key, listed), how
+    many records a key got. Each batch adds a version of each, none is ever rewritten. The pointer COMMITS names the
+    versions that count and is replaced in one step: a batch is in all of the tables or in none, and what a run that
+    died has left behind is never read. The latter three are parted by key, so only parts that keys fall into are read.
 
-    def _has(self, name: str) -> bool:
-        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+    Vendors may be found to be one later on: ``learn`` takes the classes of all names, each class keeps the smallest of
+    its names' numbers for new records, and records accepted under any of them are found.
+    """
 
-    def earliest(self, rows: DataFrame | None = None) -> DataFrame:
-        """(record, earlier): for each record of ``rows`` the first batch in which it or a near record was accepted.
+    TABLES = ("records", "chunks", "counts")
 
-        ``rows`` as for ``append``; by default the records of the index whose last batch isn't the first of all.
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path, self.store = spark, path.rstrip("/"), Store(spark, path)
+        self.scratch = Scratch(spark, "lookup")
+        self.vendors: DataFrame | None = None
+        self.known_as: DataFrame | None = None
+
+    def _commits(self) -> dict[str, list[str]]:
+        return self.store.published("COMMITS") or {"names": [], "versions": []}
+
+    def _table(self, name: str, schema: str, buckets: list[int] | None = None) -> DataFrame:
+        """Committed rows of a table; of those parts only, if ``buckets`` are given."""
+        commits = self._commits()
+        paths = [f"{self.path}/{name}/{v}" for v in commits["names" if name == "names" else "versions"]]
+        if not paths:
+            return self.spark.createDataFrame([], schema)
+        if name == "names":
+            return self.spark.read.schema(schema).parquet(*paths)
+        rows = self.spark.read.option("basePath", f"{self.path}/{name}").schema(f"{schema}, version string, bucket int").parquet(*paths)
+        return (rows if buckets is None else rows.where(F.col("bucket").isin(buckets))).drop("version", "bucket")
+
+    def records(self, buckets: list[int] | None = None) -> DataFrame:
+        return self._table("records", "record bigint, vendor bigint, form string, amount bigint, first_batch int", buckets)
+
+    def learn(self, classes: DataFrame) -> None:
+        """Take note of all names known by now: ``classes`` has each name (vendor_name) and its vendor by any label."""
+        known = self._table("names", "vendor_name string, vendor bigint").withColumnRenamed("vendor", "number")
+        named = classes.select("vendor_name", "vendor").join(known, "vendor_name", "left")
+        named = self.scratch.keep(named)
+        held = named.where("number is not null").select("vendor", "number").distinct()
+        own = named.groupBy("vendor").agg(F.coalesce(F.min("number"), F.xxhash64("vendor")).alias("own"))
+        vendors = self.scratch.keep(named.join(own, "vendor").select("vendor_name", F.col("own").alias("vendor"), "number"))
+        fresh, seen = vendors.where("number is null").select("vendor_name", "vendor"), uuid.uuid4().hex
+        fresh.write.parquet(f"{self.path}/names/{seen}")
+        commits = self._commits()
+        self.store.publish("COMMITS", commits | {"names": [*commits["names"], seen]})
+        self.vendors = vendors.select("vendor_name", "vendor")
+        # numbers under which records of a vendor may have been accepted
+        self.known_as = self.scratch.keep(held.join(own, "vendor").select(F.col("own").alias("vendor"), "number").unionByName(own.select(F.col("own").alias("vendor"), F.col("own").alias("number"))).distinct())
+
+    def numbered(self, rows: DataFrame) -> DataFrame:
+        """Rows with a vendor_name that ``learn`` has met: ``vendor`` in its place."""
+        return rows.join(self.vendors, "vendor_name").drop("vendor_name")
+
+    def batch(self, rows: DataFrame) -> tuple[DataFrame, dict]:
+        """The different records of ``rows`` (vendor, form, amount, batch_no) with their chunks, kept; and counts of them."""
+        distinct = rows.groupBy("vendor", "form", "amount").agg(F.min("batch_no").alias("first_batch"), F.max("batch_no").alias("last_batch"))
+        return self.scratch.measured(_chunked(distinct.withColumn("record", record_of())), n=F.count(F.lit(1)), parts=F.collect_set(_bucket("record")))
+
+    def append(self, batch: DataFrame, seen: dict) -> None:
+        """Accept the records of a batch (see ``batch``) that aren't accepted yet. It costs what the batch brings in.
+
+        A batch that is appended again adds nothing; one whose run died before the pointer moved counts as never appended.
         """
-        if rows is None:
-            asked = self._read("records").where("last_batch >= 1")
-        else:
-            distinct = rows.groupBy("vendor", "form", "amount").agg(F.max("batch_no").alias("last_batch"))
-            asked = _chunked(distinct.withColumn("record", F.xxhash64("vendor", "form", "amount")))
-        index = self._read("chunks")
+        if not seen["n"]:
+            return
+        version, commits = f"version={uuid.uuid4().hex}", self._commits()
+        known = self.records(sorted(seen["parts"])).select("record") if commits["versions"] else None
+        if known is not None and seen["n"] <= BROADCAST_ROWS:
+            asked = F.broadcast(batch.select("record"))
+            known = known.join(asked, "record", "left_semi").distinct()
+        new = batch if known is None else batch.join(known, "record", "left_anti")
+        path = {t: f"{self.path}/{t}/{version}" for t in self.TABLES}
+        new = self.scratch.keep(new)
+        columns = ("record", "vendor", "form", "amount", "first_batch")
+        self._write(new.select(*columns, _bucket("record")), path["records"])
+        entries = new.select("record", "vendor", "amount", _band(F.col("amount")).alias("band"), F.inline("chunks"))
+        self._write(entries.select(_key().alias("key"), "record").distinct().select("key", "record", _bucket("key")), path["chunks"])
+        added = self.spark.read.schema("key bigint, record bigint, bucket int").parquet(path["chunks"])
+        self._write(added.groupBy("key").agg(F.count(F.lit(1)).alias("listed")).select("key", "listed", _bucket("key")), path["counts"])
+        self.store.publish("COMMITS", commits | {"versions": [*commits["versions"], version]})
+
+    @staticmethod
+    def _write(df: DataFrame, path: str) -> None:
+        df.write.partitionBy("bucket").parquet(path)
+
+    def compact(self) -> None:
+        """Put all versions together into one, so that a lookup opens few files again. Readers of the old ones go on."""
+        version, commits = f"version={uuid.uuid4().hex}", self._commits()
+        schemas = {"records": "record bigint, vendor bigint, form string, amount bigint, first_batch int", "chunks": "key bigint, record bigint", "counts": "key bigint, listed bigint"}
+        for name, schema in schemas.items():
+            rows, key = self._table(name, schema), "record" if name == "records" else "key"
+            rows = rows.groupBy("key").agg(F.sum("listed").alias("listed")) if name == "counts" else rows
+            self._write(rows.select("*", _bucket(key)), f"{self.path}/{name}/{version}")
+        self.store.publish("COMMITS", commits | {"versions": [version]})
+
+    def earliest(self, batch: DataFrame) -> DataFrame:
+        """(record, earlier): for each record of a batch (see ``batch``) the first batch in which it or a near record was
+        accepted, if that is before its own last one."""
         at = F.log(F.abs(F.col("amount").cast("double"))) / BAND
         beside = F.when(at - F.floor(at) < 0.5, _band(F.col("amount")) - 1).otherwise(_band(F.col("amount")) + 1)
-        looked = _entries(asked.select("*", *_signatures("form")), F.array(_band(F.col("amount")), beside), "amount", "last_batch", *SIGNATURES)
-        long_lists = index.groupBy("key").agg(F.count(F.lit(1)).alias("listed")).where(F.col("listed") > SHORT_LIST)
-        weighed = looked.join(long_lists, "key", "left")
-        grouped = weighed.groupBy("record", "amount", "last_batch", *SIGNATURES, "band", "view", "total").agg(
-            F.array_sort(F.collect_list(F.struct(F.coalesce("listed", F.lit(0)).alias("listed"), "key", "n"))).alias("c")
-        )
-        ahead = F.transform("c", lambda x, i: F.struct(x["key"].alias("key"), F.aggregate(F.slice("c", i + 1, F.size("c")), F.lit(0), lambda s, y: s + y["n"]).alias("rest")))
-        rare = grouped.select("record", "amount", "last_batch", *SIGNATURES, "total", F.inline(ahead)).where(F.col("rest") > COVERAGE * F.col("total"))
-        found = index.select("key", F.col("record").alias("other"), F.col("amount").alias("other_amount"), "first_batch", *(F.col(x).alias(f"other_{x}") for x in SIGNATURES))
+        asked = batch.join(self.known_as, "vendor").select("record", "number", "amount", "chunks", F.explode(F.array(_band(F.col("amount")), beside)).alias("band"))
+        entries = asked.select("record", "number", "amount", "band", F.inline("chunks")).withColumn("key", _key("number"))
+        keys, seen = self.scratch.measured(entries.select("key").distinct(), n=F.count(F.lit(1)), parts=F.collect_set(_bucket("key")))
+        parts = sorted(seen["parts"] or [])
+        few = F.broadcast(keys) if (seen["n"] or 0) <= BROADCAST_ROWS else keys
+        listed = self._table("counts", "key bigint, listed bigint", parts).join(few, "key").groupBy("key").agg(F.sum("listed").alias("listed"))
+        # a key that nothing was listed under stays: it is the rarest of all, and leads nowhere
+        weighed = entries.join(listed, "key", "left").withColumn("listed", F.coalesce("listed", F.lit(0)))
+        group = ("record", "number", "band", "stream", "total")
+        rarest = F.array_sort(F.collect_list(F.struct(F.when(F.col("listed") <= SHORT_LIST, F.least("listed", F.lit(1))).otherwise(F.col("listed")).alias("listed"), "key", "n")))
+        grouped = weighed.groupBy(*group).agg(rarest.alias("c"))
+        onwards = F.transform("c", lambda x, i: F.struct(x["key"].alias("key"), F.aggregate(F.slice("c", i + 1, F.size("c")), F.lit(0), lambda s, y: s + y["n"]).alias("onwards"), x["listed"].alias("listed")))
+        followed = grouped.select("record", "total", F.inline(onwards)).where((F.col("onwards") >= COVERAGE * F.col("total")) & (F.col("listed") > 0)).select("record", "key").distinct()
+        followed, seen = self.scratch.measured(followed, n=F.count(F.lit(1)), parts=F.collect_set(_bucket("key")))
+        parts, small = sorted(seen["parts"] or []), (seen["n"] or 0) <= BROADCAST_ROWS
+        chunks = self._table("chunks", "key bigint, record bigint", parts).withColumnRenamed("record", "other")
+        met = chunks.join(F.broadcast(followed) if small else followed, "key").select("record", "other").distinct()
+        met, seen = self.scratch.measured(met, n=F.count(F.lit(1)), parts=F.collect_set(_bucket("other")))
+        parts, small = sorted(seen["parts"] or []), (seen["n"] or 0) <= BROADCAST_ROWS
+        others = self.records(parts).select(F.col("record").alias("other"), F.col("form").alias("other_form"), F.col("amount").alias("other_amount"), "first_batch")
+        pairs = others.join(F.broadcast(met) if small else met, "other").join(batch.select("record", "form", "amount", "last_batch"), "record")
         larger = F.greatest(F.abs("amount"), F.abs("other_amount"))
-        close = F.abs(F.col("amount") - F.col("other_amount")) <= TOLERANCE * larger
-        alike = F.coalesce(*(F.when(F.col(x) == F.col(f"other_{x}"), True) for x in SIGNATURES), F.lit(False))
-        pairs = rare.drop("total", "rest").join(found, "key").where(close & alike & (F.col("first_batch") < F.col("last_batch")))
-        pairs = pairs.select("record", "other", "first_batch").distinct()
-        mine = asked.select("record", F.col("form").alias("form_a"))
-        other = self._read("records").select(F.col("record").alias("other"), F.col("form").alias("form_b"))
-        both = pairs.join(mine, "record").join(other, "other")
-        same = F.replace("form_a", F.lit(" "), F.lit("")) == F.replace("form_b", F.lit(" "), F.lit(""))
-        sure = both.where(same).select("record", "first_batch")
-        compared = both.where(~same).where(_same_number("form_a", "form_b")).select("record", "first_batch")
-        return sure.unionByName(compared).groupBy("record").agg(F.min("first_batch").alias("earlier"))
+        close = (F.abs(F.col("amount") - F.col("other_amount")) <= TOLERANCE * larger) & (F.col("first_batch") < F.col("last_batch"))
+        return _compared(pairs.where(close)).groupBy("record").agg(F.min("first_batch").alias("earlier"))
 
 
 def late_duplicates(invoices: DataFrame, classes: DataFrame | None = None, path: str | None = None) -> DataFrame:
     """(id): invoices of batches from 1 on of which an earlier batch has the same vendor, number and amount, or nearly.
 
-    Vendors are compared by their classes (``variants.vendor_classes``), numbers exactly where they share a chunk,
-    amounts within one per cent of the larger. Rows in which one of the three is missing, the amount is 0 or the batch is
-    null are no cases and match none. A batch never matches itself. No rows give no cases.
+    Batch after batch is looked up in the index in ``path`` and then appended to it, first all history (batches up to 0);
+    batches of which the index has all records already add nothing, so a run that died can be run again.
+
+    Vendors are compared by their classes (``variants.vendor_classes``), numbers exactly where enough of a stream is
+    covered by shared chunks, amounts within one per cent of the larger. Rows in which one of the three is missing, the
+    amount is 0 or the batch is null are no cases and match none. A batch never matches itself. No rows give no cases.
     """
     spark = invoices.sparkSession
     scratch = Scratch(spark, "history")
-    classes = scratch.keep(vendor_classes(invoices) if classes is None else classes)
-    rows = scratch.keep(records(invoices, classes))
+    classes = vendor_classes(invoices) if classes is None else classes
     index = ChunkIndex(spark, path or scratch.path())
-    index.append(rows)
-    earliest = index.earliest()
-    late = rows.where("batch_no >= 1").withColumn("record", F.xxhash64("vendor", "form", "amount"))
-    return late.join(earliest, "record").where("earlier < batch_no").select("id")
+    index.learn(classes)
+    rows, parts = index.numbered(usable_rows(invoices)).withColumn("batch", F.greatest("batch_no", F.lit(0))), scratch.path()
+    rows.write.partitionBy("batch").parquet(parts)
+    rows = spark.read.schema("id string, form string, amount bigint, batch_no int, vendor bigint, batch int").parquet(parts)
+    found = []
+    for (number,) in sorted(rows.select("batch").distinct().collect()):  # one number for each batch
+        batch, seen = index.batch(rows.where(F.col("batch") == number))
+        if number:
+            found.append(scratch.keep(index.earliest(batch).select("record", F.lit(number).alias("batch"))))
+        index.append(batch, seen)
+        index.scratch.release(batch)
+    if not found:
+        return rows.select("id").where("false")
+    every = found[0]
+    for more in found[1:]:
+        every = every.unionByName(more)
+    return rows.where("batch >= 1").withColumn("record", record_of()).join(every, ["record", "batch"]).select("id")

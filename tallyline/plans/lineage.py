@@ -55,6 +55,17 @@ class Scratch:
         kept = self.keep(df.observe(seen, *(c.alias(name) for name, c in aggregates.items())))
         return kept, seen.get
 
+    def released(self) -> None:
+        """Delete all that this run has kept, for a caller that has read its result (or written it elsewhere)."""
+        self._paths.clear()
+        self._fs.delete(self._path(self.root), True)
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.released()
+
     def release(self, *kept: DataFrame) -> None:
         """Delete tables that nothing reads any more."""
         for df in kept:

@@ -31,24 +31,33 @@ class Store:
         """Write a new version and make it the current one; returns its name. Older versions stay for running readers."""
         version = uuid.uuid4().hex
         df.write.parquet(f"{self.root}/{name}/{version}")
-        self._put(f"{name}/CURRENT", json.dumps({"version": version}))
+        self.publish(f"{name}/CURRENT", {"version": version})
         return version
 
-    def _put(self, name: str, text: str) -> None:
+    def publish(self, name: str, value: dict) -> None:
+        """Make ``value`` the content of the pointer ``name`` in one step: readers see the old value or the new one."""
         draft = self._path(f"{name}.{uuid.uuid4().hex}")
         out = self._fs.create(draft, True)
-        out.write(bytearray(text.encode()))
+        out.write(bytearray(json.dumps(value).encode()))
         out.close()
         options = self.spark.sparkContext._gateway.new_array(self._jvm.org.apache.hadoop.fs.Options.Rename, 1)
         options[0] = self._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
         context = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri())
         context.rename(draft, self._path(name), options)
 
-    def _current(self, name: str) -> str | None:
-        pointer = self._path(f"{name}/CURRENT")
+    def published(self, name: str) -> dict | None:
+        """The value of a pointer; None if there is none."""
+        pointer = self._path(name)
         if not self._fs.exists(pointer):
             return None
-        return json.loads(self.spark.read.text(pointer.toString(), wholetext=True).first()[0])["version"]
+        source = self._fs.open(pointer)
+        try:
+            return json.loads(bytes(source.readAllBytes()).decode())
+        finally:
+            source.close()
+
+    def _current(self, name: str) -> str | None:
+        return (self.published(f"{name}/CURRENT") or {}).get("version")
 
     def read(self, name: str, schema: str) -> DataFrame:
         """The table's rows; an empty table if nothing was written or it was cleared."""
