@@ -44,10 +44,9 @@ REACH = 3
 TOLERANCE = 0.01
 #: Width of an amount band as a logarithm: amounts within the tolerance are in one band or two adjacent ones.
 BAND = 0.0202
-#: Keys or pairs up to which they are broadcast to the tables of the history; beyond, the join shuffles.
+#: Keys of a batch up to which they are broadcast to the tables of the history, which then are read where they lie;
+#: beyond, the joins shuffle.
 BROADCAST_ROWS = 1_000_000
-#: Parts of the tables by key: what no key of a batch falls into isn't read.
-BUCKETS = 8
 #: Words added to a number in passing; look-alike letters and the digits they are read as.
 INCIDENTAL = frozenset("copy kopie copie copia salinan duplicate duplicata duplikat dup scan scanned orig original rev revised resend resent 2nd second final draft page".split())
 _FOLD = str.maketrans("ilsbzgo", "1158260")
@@ -186,10 +185,6 @@ def _key(vendor: str = "vendor") -> Column:
     return F.xxhash64(vendor, F.signum("amount"), "band", "h")
 
 
-def _bucket(key: str) -> Column:
-    return F.pmod(F.col(key), F.lit(BUCKETS)).cast("int").alias("bucket")
-
-
 _CHUNKS = "array<struct<stream:int,h:bigint,n:int,total:int>>"
 
 
@@ -231,13 +226,16 @@ class ChunkIndex:
     ``records``: (record, vendor, form, amount, first_batch); ``chunks``: (key, record); ``counts``: (key, listed), how
     many records a key got. Each batch adds a version of each, none is ever rewritten. The pointer COMMITS names the
     versions that count and is replaced in one step: a batch is in all of the tables or in none, and what a run that
-    died has left behind is never read. The latter three are parted by key, so only parts that keys fall into are read.
+    died has left behind is never read. Within a version rows lie in the order of their keys.
 
     Vendors may be found to be one later on: ``learn`` takes the classes of all names, each class keeps the smallest of
     its names' numbers for new records, and records accepted under any of them are found.
     """
 
-    TABLES = ("records", "chunks", "counts")
+    SCHEMAS = {
+        "names": "vendor_name string, vendor bigint", "records": "record bigint, vendor bigint, form string, amount bigint, first_batch int",
+        "chunks": "key bigint, record bigint", "counts": "key bigint, listed bigint",
+    }
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path, self.store = spark, path.rstrip("/"), Store(spark, path)
@@ -248,23 +246,15 @@ class ChunkIndex:
     def _commits(self) -> dict[str, list[str]]:
         return self.store.published("COMMITS") or {"names": [], "versions": []}
 
-    def _table(self, name: str, schema: str, buckets: list[int] | None = None) -> DataFrame:
-        """Committed rows of a table; of those parts only, if ``buckets`` are given."""
-        commits = self._commits()
+    def _table(self, name: str) -> DataFrame:
+        """Committed rows of a table."""
+        commits, schema = self._commits(), self.SCHEMAS[name]
         paths = [f"{self.path}/{name}/{v}" for v in commits["names" if name == "names" else "versions"]]
-        if not paths:
-            return self.spark.createDataFrame([], schema)
-        if name == "names":
-            return self.spark.read.schema(schema).parquet(*paths)
-        rows = self.spark.read.option("basePath", f"{self.path}/{name}").schema(f"{schema}, version string, bucket int").parquet(*paths)
-        return (rows if buckets is None else rows.where(F.col("bucket").isin(buckets))).drop("version", "bucket")
-
-    def records(self, buckets: list[int] | None = None) -> DataFrame:
-        return self._table("records", "record bigint, vendor bigint, form string, amount bigint, first_batch int", buckets)
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
     def learn(self, classes: DataFrame) -> None:
         """Take note of all names known by now: ``classes`` has each name (vendor_name) and its vendor by any label."""
-        known = self._table("names", "vendor_name string, vendor bigint").withColumnRenamed("vendor", "number")
+        known = self._table("names").withColumnRenamed("vendor", "number")
         named = classes.select("vendor_name", "vendor").join(known, "vendor_name", "left")
         named = self.scratch.keep(named)
         held = named.where("number is not null").select("vendor", "number").distinct()
@@ -282,74 +272,65 @@ class ChunkIndex:
         """Rows with a vendor_name that ``learn`` has met: ``vendor`` in its place."""
         return rows.join(self.vendors, "vendor_name").drop("vendor_name")
 
-    def batch(self, rows: DataFrame) -> tuple[DataFrame, dict]:
-        """The different records of ``rows`` (vendor, form, amount, batch_no) with their chunks, kept; and counts of them."""
+    def batch(self, rows: DataFrame) -> tuple[DataFrame, bool]:
+        """The different records of ``rows`` (vendor, form, amount, batch_no) with their chunks, kept; whether their keys
+        are few enough to be broadcast."""
         distinct = rows.groupBy("vendor", "form", "amount").agg(F.min("batch_no").alias("first_batch"), F.max("batch_no").alias("last_batch"))
-        return self.scratch.measured(_chunked(distinct.withColumn("record", record_of())), n=F.count(F.lit(1)), parts=F.collect_set(_bucket("record")))
+        kept, seen = self.scratch.measured(_chunked(distinct.withColumn("record", record_of())), n=F.sum(F.size("chunks")))
+        return kept, 2 * (seen["n"] or 0) <= BROADCAST_ROWS
 
-    def append(self, batch: DataFrame, seen: dict) -> None:
+    def append(self, batch: DataFrame, few: bool = False) -> None:
         """Accept the records of a batch (see ``batch``) that aren't accepted yet. It costs what the batch brings in.
 
         A batch that is appended again adds nothing; one whose run died before the pointer moved counts as never appended.
         """
-        if not seen["n"]:
-            return
-        version, commits = f"version={uuid.uuid4().hex}", self._commits()
-        known = self.records(sorted(seen["parts"])).select("record") if commits["versions"] else None
-        if known is not None and seen["n"] <= BROADCAST_ROWS:
-            asked = F.broadcast(batch.select("record"))
-            known = known.join(asked, "record", "left_semi").distinct()
-        new = batch if known is None else batch.join(known, "record", "left_anti")
-        path = {t: f"{self.path}/{t}/{version}" for t in self.TABLES}
-        new = self.scratch.keep(new)
-        columns = ("record", "vendor", "form", "amount", "first_batch")
-        self._write(new.select(*columns, _bucket("record")), path["records"])
+        version, commits = uuid.uuid4().hex, self._commits()
+        new = batch
+        if commits["versions"]:
+            asked = batch.select("record")
+            known = self._table("records").select("record").join(F.broadcast(asked) if few else asked, "record", "left_semi")
+            new = batch.join(known, "record", "left_anti")
+        path = {t: f"{self.path}/{t}/{version}" for t in ("records", "chunks", "counts")}
+        new.select("record", "vendor", "form", "amount", "first_batch").write.parquet(path["records"])
         entries = new.select("record", "vendor", "amount", _band(F.col("amount")).alias("band"), F.inline("chunks"))
-        self._write(entries.select(_key().alias("key"), "record").distinct().select("key", "record", _bucket("key")), path["chunks"])
-        added = self.spark.read.schema("key bigint, record bigint, bucket int").parquet(path["chunks"])
-        self._write(added.groupBy("key").agg(F.count(F.lit(1)).alias("listed")).select("key", "listed", _bucket("key")), path["counts"])
+        entries.select(_key().alias("key"), "record").distinct().sortWithinPartitions("key").write.parquet(path["chunks"])
+        added = self.spark.read.schema(self.SCHEMAS["chunks"]).parquet(path["chunks"])
+        added.groupBy("key").agg(F.count(F.lit(1)).alias("listed")).sortWithinPartitions("key").write.parquet(path["counts"])
         self.store.publish("COMMITS", commits | {"versions": [*commits["versions"], version]})
 
-    @staticmethod
-    def _write(df: DataFrame, path: str) -> None:
-        df.write.partitionBy("bucket").parquet(path)
-
     def compact(self) -> None:
         """Put all versions together into one, so that a lookup opens few files again. Readers of the old ones go on."""
-        version, commits = f"version={uuid.uuid4().hex}", self._commits()
-        schemas = {"records": "record bigint, vendor bigint, form string, amount bigint, first_batch int", "chunks": "key bigint, record bigint", "counts": "key bigint, listed bigint"}
-        for name, schema in schemas.items():
-            rows, key = self._table(name, schema), "record" if name == "records" else "key"
-            rows = rows.groupBy("key").agg(F.sum("listed").alias("listed")) if name == "counts" else rows
-            self._write(rows.select("*", _bucket(key)), f"{self.path}/{name}/{version}")
+        version, commits = uuid.uuid4().hex, self._commits()
+        self._table("records").write.parquet(f"{self.path}/records/{version}")
+        self._table("chunks").repartition("key").sortWithinPartitions("key").write.parquet(f"{self.path}/chunks/{version}")
+        counts = self._table("counts").groupBy("key").agg(F.sum("listed").alias("listed"))
+        counts.sortWithinPartitions("key").write.parquet(f"{self.path}/counts/{version}")
         self.store.publish("COMMITS", commits | {"versions": [version]})
 
-    def earliest(self, batch: DataFrame) -> DataFrame:
+    def earliest(self, batch: DataFrame, few: bool = False) -> DataFrame:
         """(record, earlier): for each record of a batch (see ``batch``) the first batch in which it or a near record was
-        accepted, if that is before its own last one."""
+        accepted, if that is before its own last one.
+
+        The result reads the versions committed by now, whatever is appended later.
+        """
         at = F.log(F.abs(F.col("amount").cast("double"))) / BAND
         beside = F.when(at - F.floor(at) < 0.5, _band(F.col("amount")) - 1).otherwise(_band(F.col("amount")) + 1)
         asked = batch.join(self.known_as, "vendor").select("record", "number", "amount", "chunks", F.explode(F.array(_band(F.col("amount")), beside)).alias("band"))
-        entries = asked.select("record", "number", "amount", "band", F.inline("chunks")).withColumn("key", _key("number"))
-        keys, seen = self.scratch.measured(entries.select("key").distinct(), n=F.count(F.lit(1)), parts=F.collect_set(_bucket("key")))
-        parts = sorted(seen["parts"] or [])
-        few = F.broadcast(keys) if (seen["n"] or 0) <= BROADCAST_ROWS else keys
-        listed = self._table("counts", "key bigint, listed bigint", parts).join(few, "key").groupBy("key").agg(F.sum("listed").alias("listed"))
+        entries = asked.select("record", "number", "band", "amount", F.inline("chunks")).withColumn("key", _key("number"))
+        keys = entries.select("key").distinct()
+        counts = self._table("counts").join(F.broadcast(keys) if few else keys, "key", "left_semi")
+        listed = counts.groupBy("key").agg(F.sum("listed").alias("listed"))
         # a key that nothing was listed under stays: it is the rarest of all, and leads nowhere
         weighed = entries.join(listed, "key", "left").withColumn("listed", F.coalesce("listed", F.lit(0)))
-        group = ("record", "number", "band", "stream", "total")
         rarest = F.array_sort(F.collect_list(F.struct(F.when(F.col("listed") <= SHORT_LIST, F.least("listed", F.lit(1))).otherwise(F.col("listed")).alias("listed"), "key", "n")))
-        grouped = weighed.groupBy(*group).agg(rarest.alias("c"))
+        grouped = weighed.groupBy("record", "number", "band", "stream", "total").agg(rarest.alias("c"))
         onwards = F.transform("c", lambda x, i: F.struct(x["key"].alias("key"), F.aggregate(F.slice("c", i + 1, F.size("c")), F.lit(0), lambda s, y: s + y["n"]).alias("onwards"), x["listed"].alias("listed")))
         followed = grouped.select("record", "total", F.inline(onwards)).where((F.col("onwards") >= COVERAGE * F.col("total")) & (F.col("listed") > 0)).select("record", "key").distinct()
-        followed, seen = self.scratch.measured(followed, n=F.count(F.lit(1)), parts=F.collect_set(_bucket("key")))
-        parts, small = sorted(seen["parts"] or []), (seen["n"] or 0) <= BROADCAST_ROWS
-        chunks = self._table("chunks", "key bigint, record bigint", parts).withColumnRenamed("record", "other")
-        met = chunks.join(F.broadcast(followed) if small else followed, "key").select("record", "other").distinct()
-        met, seen = self.scratch.measured(met, n=F.count(F.lit(1)), parts=F.collect_set(_bucket("other")))
-        parts, small = sorted(seen["parts"] or []), (seen["n"] or 0) <= BROADCAST_ROWS
-        others = self.records(parts).select(F.col("record").alias("other"), F.col("form").alias("other_form"), F.col("amount").alias("other_amount"), "first_batch")
-        pairs = others.join(F.broadcast(met) if small else met, "other").join(batch.select("record", "form", "amount", "last_batch"), "record")
+        chunks = self._table("chunks").withColumnRenamed("record", "other")
+        # kept, so that its size is known when the join with the records is planned
+        met = self.scratch.keep(chunks.join(F.broadcast(followed) if few else followed, "key").select("record", "other").distinct())
+        others = self._table("records").select(F.col("record").alias("other"), F.col("form").alias("other_form"), F.col("amount").alias("other_amount"), "first_batch")
+        pairs = others.join(met, "other").join(batch.select("record", "form", "amount", "last_batch"), "record")
         larger = F.greatest(F.abs("amount"), F.abs("other_amount"))
         close = (F.abs(F.col("amount") - F.col("other_amount")) <= TOLERANCE * larger) & (F.col("first_batch") < F.col("last_batch"))
         return _compared(pairs.where(close)).groupBy("record").agg(F.min("first_batch").alias("earlier"))
@@ -375,11 +356,10 @@ def late_duplicates(invoices: DataFrame, classes: DataFrame | None = None, path:
     rows = spark.read.schema("id string, form string, amount bigint, batch_no int, vendor bigint, batch int").parquet(parts)
     found = []
     for (number,) in sorted(rows.select("batch").distinct().collect()):  # one number for each batch
-        batch, seen = index.batch(rows.where(F.col("batch") == number))
+        batch, few = index.batch(rows.where(F.col("batch") == number))
         if number:
-            found.append(scratch.keep(index.earliest(batch).select("record", F.lit(number).alias("batch"))))
-        index.append(batch, seen)
-        index.scratch.release(batch)
+            found.append(index.earliest(batch, few).select("record", F.lit(number).alias("batch")))
+        index.append(batch, few)
     if not found:
         return rows.select("id").where("false")
     every = found[0]
