@@ -53,7 +53,17 @@ def p5_found(spark, folder):
     return survivors.best_copies(table(spark, folder, "invoices"), table(spark, folder, "source_trust"))
 
 
-@_query("p5_voted_records")
+_VOTED = f"""{_BEST.split("ranked AS")[0].rstrip().rstrip(",")},
+  votes AS (SELECT group_id, f, x, CASE WHEN f IN ('amount', 'invoice_date') THEN x ELSE lower(regexp_replace(x, '[^\\p{{L}}\\p{{N}}]+', '', 'g')) END AS k,
+    coalesce(1.0::DOUBLE / (trust_rank + 1), 0.01::DOUBLE) * coalesce(pow(0.5::DOUBLE, greatest(0, date_diff('day', created_at::DATE, (SELECT max(created_at) FROM invoices)::DATE))::DOUBLE / 180.0::DOUBLE), 0.01::DOUBLE) AS w
+    FROM cells WHERE NOT {_MISSING}),
+  summed AS (SELECT group_id, f, k, sum(round(w * 1e9)::BIGINT) AS n, max({{'w': w, 'v': x}}).v AS x FROM votes GROUP BY 1, 2, 3),
+  won AS (SELECT group_id, f, x FROM (SELECT *, row_number() OVER (PARTITION BY group_id, f ORDER BY n DESC, k) AS rn FROM summed) q WHERE rn = 1)
+  SELECT group_id, max(x) FILTER (f = 'vendor_name') AS vendor_name, max(x) FILTER (f = 'invoice_no') AS invoice_no, CAST(max(x) FILTER (f = 'amount') AS BIGINT) AS amount,
+    max(x) FILTER (f = 'currency') AS currency, CAST(max(x) FILTER (f = 'invoice_date') AS DATE) AS invoice_date, max(x) FILTER (f = 'tax_id') AS tax_id FROM won GROUP BY group_id"""
+
+
+@_query("p5_voted_records", _VOTED)
 def p5_voted_records(spark, folder):
     return survivors.voted_records(table(spark, folder, "invoices"), table(spark, folder, "source_trust"))
 

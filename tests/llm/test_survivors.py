@@ -48,5 +48,16 @@ def test_voted_records(spark):
     assert (got["a"].vendor_name, got["a"].amount, got["a"].tax_id) == ("ACME", 5, "12") and set(got) == {"a", "h"}
 
 
+def test_signs_ties_and_repeated_rows(spark):
+    day = date(2024, 1, 1)
+    base = [("a", "pdf", 0.5, "B", "1", -500, "EUR", day, "1", T[0], None), ("b", "pdf", 0.5, "A", "1", 500, "EUR", day, "1", T[0], "a"), ("c", "EDI", 0.5, None, "1", 700, "EUR", day, "1", T[0], "a")]
+    df = spark.createDataFrame([(*r, "x", "y") for r in base + base[:1]], SCHEMA)
+    r = voted_records(df.dropDuplicates(["id"]), trust(spark)).first()
+    assert (r.amount, r.vendor_name) == (700, "A")  # neither sign lends the other its vote; of equal votes the smaller value wins
+    got = {r.field_name: r.id for r in best_copies(df, trust(spark)).collect()}
+    assert (got["amount"], got["vendor_name"]) == ("c", "a")
+    assert duplicate_groups(df).count() == 3
+
+
 def test_empty(spark):
     assert best_copies(rows(spark).limit(0), trust(spark)).isEmpty() and voted_records(rows(spark).limit(0), trust(spark).limit(0)).isEmpty()
