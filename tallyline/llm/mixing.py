@@ -1,9 +1,13 @@
 """Mixing sources to target weights by a low-discrepancy schedule.
 
-Slot i of the schedule takes the source whose interval of the cumulative weights holds the i-th point of the golden-ratio
-sequence, so every stretch of the mixture has nearly the target shares. The k-th slot of a source takes its k-th block:
-the source's documents, shuffled by hash, are cut by cumulative tokens into blocks of equal size, and when the blocks are
-used up they repeat, each document at most ``max_repeats`` times.
+The points of the van der Corput sequence (the bits of the slot's number mirrored at the point) fall evenly into any
+interval, in every stretch of slots. The n points of n slots are ranked, and the ranks divided among the sources by their
+weights in blocks: every source gets exactly the slots it needs, none is made in vain, and every stretch of the mixture
+has nearly the target shares. Rank and slot follow from each other by counting, without a sort (``slot_of_rank``).
+
+The k-th slot of a source takes its k-th block: the source's documents, shuffled by hash and repeated at most
+``max_repeats`` times, are one stream of tokens, cut into blocks of equal size wherever the cut falls. A document may so
+be in two blocks or more; each piece says where among the document's tokens it begins.
 
 Ranks and running sums within a source are taken in two steps (sums of hash ranges first, then within each range), so no
 task holds a source: a source with most rows has as many ranges as its size needs.
@@ -17,8 +21,6 @@ from pyspark.sql import functions as F
 from tallyline.llm.tokenize import TOKENIZERS, VOCABULARY, count_tokens
 from tallyline.plans.lineage import Scratch
 
-#: Fractional part of the golden ratio in units of 2**-32.
-GOLDEN = 2654435769
 #: Rows in one range of a running sum.
 RANGE_ROWS = 50_000
 #: The targets are configuration: at most so many sources.
@@ -40,6 +42,26 @@ def running(df: DataFrame, group: str, position: Column, order: list[str], size:
     return summed.join(starts, [group, "_range"]).withColumn(name, F.col("_start") + F.col("_before")).drop("_range", "_size", "_start", "_before")
 
 
+def slot_of_rank(rank: Column, n: int) -> Column:
+    """Which of the slots 0..n-1 has the ``rank``-th smallest point of the van der Corput sequence.
+
+    From the lowest bit up: among the slots that agree so far, those with a 0 in the next bit have the smaller points.
+    There are (left + 1) // 2 of ``left`` such slots.
+    """
+    bits = max(1, (n - 1).bit_length())
+    begin = F.struct(rank.cast("bigint").alias("r"), F.lit(n).cast("bigint").alias("left"), F.lit(0).cast("bigint").alias("slot"))
+
+    def step(state: Column, bit: Column) -> Column:
+        zeros = F.shiftright(state["left"] + 1, 1)
+        one = state["r"] >= zeros
+        return F.struct(
+            F.when(one, state["r"] - zeros).otherwise(state["r"]).alias("r"), F.when(one, state["left"] - zeros).otherwise(zeros).alias("left"),
+            F.when(one, state["slot"] + bit).otherwise(state["slot"]).alias("slot"),
+        )
+
+    return F.aggregate(F.array(*(F.lit(1 << b).cast("bigint") for b in range(bits))), begin, step, lambda state: state["slot"])
+
+
 def _targets(targets: DataFrame) -> dict[str, tuple[float, int]]:
     rows = targets.where("source is not null and target_share > 0 and max_repeats > 0").limit(MAX_SOURCES + 1).collect()
     if len(rows) > MAX_SOURCES:
@@ -60,7 +82,8 @@ class Mixture:
     def __init__(self, documents: DataFrame, targets: DataFrame, block_tokens: int = 4096, total_tokens: int | None = None, seed: int = 0, folder: str = TOKENIZERS, name: str = VOCABULARY):
         self.scratch, self.block, self.seed = Scratch(documents.sparkSession, "mixing"), block_tokens, seed
         self.wanted = _targets(targets)
-        known = documents.where(F.col("source").isin(list(self.wanted)) if self.wanted else F.lit(False)).select("doc_id", "source", "text")
+        sources = self.scratch.spark.createDataFrame([(s,) for s in self.wanted], "source string")
+        known = documents.select("doc_id", "source", "text").join(F.broadcast(sources), "source", "left_semi")  # MAX_SOURCES rows at most
         counted = count_tokens(known, ["doc_id", "source"], "text", folder, name)
         self.sizes = self.scratch.keep(counted.where("n_tokens > 0"))
         self.held = {r[0]: (r[1], r[2]) for r in self.sizes.groupBy("source").agg(F.sum("n_tokens"), F.count(F.lit(1))).collect()}
@@ -69,50 +92,49 @@ class Mixture:
         #: Tokens to take from each source.
         self.quota = {s: min(int(share / whole * total), repeats * self.held[s][0]) for s, (share, repeats) in self.wanted.items() if s in self.held}
 
-    def _by_source(self, values: dict[str, float], kind: str) -> Column:
-        pairs = [x for s, v in values.items() for x in (F.lit(s), F.lit(v).cast(kind))]
-        return F.create_map(*pairs)[F.col("source")]
-
-    def _blocks(self) -> DataFrame:
-        """Documents with the number of their block: where they begin among the tokens of their shuffled source."""
+    def _plan(self) -> DataFrame:
+        """(source, held, quota, blocks, first): for each source with a quota its tokens, slots and first rank. One row a
+        source, at most MAX_SOURCES."""
+        rows, first = [], 0
+        for s, q in self.quota.items():
+            if q > 0:
+                rows.append((s, self.held[s][0], q, -(-q // self.block), first))
+                first += rows[-1][3]
+        return F.broadcast(self.scratch.spark.createDataFrame(rows, "source string, held bigint, quota bigint, blocks bigint, first bigint"))
+
+    def _pieces(self, plan: DataFrame) -> DataFrame:
+        """(source, nth, doc_id, use, from_token, n_tokens): what each block holds."""
         n_ranges = max(1, -(-max((n for _, n in self.held.values()), default=0) // RANGE_ROWS))
         shuffled = self.sizes.withColumn("h", F.xxhash64(F.lit(self.seed), "doc_id"))
         position = (F.shiftrightunsigned("h", 11)).cast("double") / 2.0**53
-        placed = running(shuffled, "source", position, ["h", "doc_id"], F.col("n_tokens"), n_ranges, "begin")
-        return placed.withColumn("block", F.floor(F.col("begin") / self.block)).drop("h")
-
-    def _slots(self) -> DataFrame:
-        """(slot, source, nth): the schedule, with each source's slots numbered from 0 up to its quota."""
-        needed = {s: -(-q // self.block) for s, q in self.quota.items() if q}
-        n, weight = sum(needed.values()), 0.0
-        # the sequence departs from exact shares by a few slots; so many more make sure that every source is filled
-        spare = int(8 * (n + 2).bit_length() * n / max(1, min(needed.values(), default=1)))
-        slots = self.scratch.spark.range(n + spare).withColumn("x", F.pmod(F.col("id") * GOLDEN, F.lit(1 << 32)) / float(1 << 32))
-        source = F.lit(None).cast("string")
-        for s, k in reversed(list(needed.items())):
-            weight += k / n
-            source = F.when(F.col("x") >= 1.0 - weight, F.lit(s)).otherwise(source) if source is None else F.coalesce(source, F.when(F.col("x") >= 1.0 - weight, F.lit(s)))
-        first = next(iter(needed), None)
-        slots = slots.withColumn("source", F.coalesce(source, F.lit(first)))
-        n_ranges = max(1, (n + spare) // RANGE_ROWS)
-        ranked = running(slots, "source", F.col("id") / float(max(1, n + spare)), ["id"], F.lit(1), n_ranges, "nth")
-        return ranked.where(F.col("nth") < self._by_source(needed, "bigint")).select(F.col("id").alias("slot"), "source", "nth") if needed else ranked.select(F.col("id").alias("slot"), "source", "nth").where("false")
+        placed = running(shuffled, "source", position, ["h", "doc_id"], F.col("n_tokens"), n_ranges, "begin").drop("h").join(plan, "source")
+        used = placed.withColumn("use", F.explode(F.sequence(F.lit(1), F.ceil(F.col("quota") / F.col("held")).cast("int"))))
+        used = used.withColumn("begin", (F.col("use") - 1) * F.col("held") + F.col("begin"))
+        used = used.withColumn("end", F.least(F.col("begin") + F.col("n_tokens"), F.col("quota"))).where("begin < end")
+        whole = lambda c: F.floor(c / self.block)
+        cut = used.select("source", "doc_id", "use", "begin", "end", F.explode(F.sequence(whole(F.col("begin")), whole(F.col("end") - 1))).alias("nth"))
+        a, z = F.greatest(F.col("begin"), F.col("nth") * self.block), F.least(F.col("end"), (F.col("nth") + 1) * self.block)
+        return cut.select("source", "nth", "doc_id", "use", (a - F.col("begin")).alias("from_token"), (z - a).alias("n_tokens"))
+
+    def _slots(self, plan: DataFrame) -> DataFrame:
+        """(slot, source, nth): the schedule, with each source's slots numbered from 0 in their order."""
+        n = sum(-(-q // self.block) for q in self.quota.values())
+        runs = plan.withColumn("run", F.explode(F.sequence(F.lit(0), F.floor((F.col("blocks") - 1) / RANGE_ROWS))))
+        ranks = runs.repartition("source", "run").select("source", F.explode(F.sequence(F.col("first") + F.col("run") * RANGE_ROWS, F.col("first") + F.least(F.col("blocks"), (F.col("run") + 1) * RANGE_ROWS) - 1)).alias("rank"))
+        slots = ranks.select("source", slot_of_rank(F.col("rank"), max(1, n)).alias("slot"))
+        ranked = running(slots, "source", F.col("slot") / float(max(1, n)), ["slot"], F.lit(1), max(1, n // RANGE_ROWS), "nth")
+        return ranked.select("slot", "source", "nth")
 
     def documents(self) -> DataFrame:
-        """(slot, source, doc_id, use, n_tokens): the mixture in order of ``slot``; ``use`` numbers a document's uses from 1."""
-        blocks = self.scratch.keep(self._blocks())
-        if not self.quota:
-            return blocks.select(F.lit(0).cast("bigint").alias("slot"), "source", "doc_id", F.lit(1).alias("use"), "n_tokens").where("false")
-        tokens = {s: t for s, (t, _) in self.held.items() if s in self.quota}
-        n_blocks = {s: -(-t // self.block) for s, t in tokens.items()}
-        # a source of n blocks fills slots 0..n-1 in its first use, n..2n-1 in the second: only whole uses repeat
-        uses = F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.ceil(self._by_source(self.quota, "bigint") / self._by_source(tokens, "double"))).cast("int")))
-        used = blocks.where(self._by_source(self.quota, "bigint") > 0).withColumn("use", uses)
-        used = used.where((F.col("use") - 1) * self._by_source(tokens, "bigint") + F.col("begin") < self._by_source(self.quota, "bigint"))
-        used = used.withColumn("nth", (F.col("use") - 1) * self._by_source(n_blocks, "bigint") + F.col("block"))
-        last = {s: -(-q // self.block) - 1 for s, q in self.quota.items()}
-        used = used.withColumn("nth", F.least("nth", self._by_source(last, "bigint")))
-        return used.join(self._slots(), ["source", "nth"]).select("slot", "source", "doc_id", "use", "n_tokens")
+        """(slot, source, doc_id, use, from_token, n_tokens): the mixture in order of ``slot``.
+
+        ``use`` numbers a document's uses from 1; a piece holds ``n_tokens`` tokens of the document from ``from_token`` on.
+        """
+        if not any(self.quota.values()):
+            none = {"slot": "bigint", "source": "string", "doc_id": None, "use": "int", "from_token": "bigint", "n_tokens": "bigint"}
+            return self.sizes.where("false").select(*(F.col(c) if t is None else F.lit(None).cast(t).alias(c) for c, t in none.items()))
+        plan = self._plan()
+        return self._pieces(plan).join(self._slots(plan), ["source", "nth"]).select("slot", "source", "doc_id", "use", "from_token", "n_tokens")
 
     def shares(self, mixed: DataFrame | None = None) -> DataFrame:
         """(source, target_share, available_tokens, used_tokens, documents, most_uses, ...) of every target.
@@ -121,7 +143,7 @@ class Mixture:
         the tokens that the mixture has, in which a source that could not fill its share leaves more to the others.
         """
         mixed = self.documents() if mixed is None else mixed
-        by_doc = mixed.groupBy("source", "doc_id").agg(F.count(F.lit(1)).alias("uses"), F.sum("n_tokens").alias("t"))
+        by_doc = mixed.groupBy("source", "doc_id").agg(F.max("use").alias("uses"), F.sum("n_tokens").alias("t"))
         got = by_doc.groupBy("source").agg(F.sum("t").alias("used_tokens"), F.count(F.lit(1)).alias("documents"), F.max("uses").alias("most_uses"))
         rows = [(s, share, int(self.held.get(s, (0, 0))[0])) for s, (share, _) in self.wanted.items()]
         named = self.scratch.spark.createDataFrame(rows, "source string, target_share double, available_tokens bigint")
