@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -40,6 +41,49 @@ def jaro_winkler(a: str, b: str) -> float:
     return jaro + same * 0.1 * (1 - jaro)
 
 
+#: Longest text that is compared in a matrix with others; longer ones are compared one by one.
+MATRIX_WIDTH = 48
+
+
+def jaro_winkler_pairs(a: list[str], b: list[str]) -> np.ndarray:
+    """``jaro_winkler`` of many pairs of non-empty texts at once: a step for each place in the first, over all pairs."""
+    out = np.empty(len(a))
+    short = np.array([len(x) <= MATRIX_WIDTH and len(y) <= MATRIX_WIDTH for x, y in zip(a, b)], bool)
+    for i in np.flatnonzero(~short).tolist():
+        out[i] = jaro_winkler(a[i], b[i])
+    rows = np.flatnonzero(short)
+    if not len(rows):
+        return out
+    texts = [np.array([side[i] for i in rows.tolist()], dtype=np.str_) for side in (a, b)]
+    x, y = (t.view(np.uint32).reshape(len(rows), -1) for t in texts)  # code points, zeros behind the end
+    nx, ny = (np.char.str_len(t) for t in texts)
+    reach = np.maximum(np.maximum(nx, ny) // 2 - 1, 0)[:, None]
+    places = np.arange(y.shape[1])[None, :]
+    free, hit = places < ny[:, None], np.zeros(x.shape, bool)
+    for i in range(x.shape[1]):
+        here = (y == x[:, i : i + 1]) & free & (np.abs(places - i) <= reach) & (i < nx)[:, None]
+        found = here.any(1)
+        at = np.flatnonzero(found)
+        free[at, here[at].argmax(1)] = False
+        hit[at, i] = True
+    used = ~free & (places < ny[:, None])
+    m = hit.sum(1)
+
+    def matched(codes: np.ndarray, flags: np.ndarray) -> np.ndarray:
+        r, c = np.nonzero(flags)
+        packed = np.zeros((len(codes), max(1, int(m.max()))), np.uint32)
+        packed[r, (np.cumsum(flags, 1) - 1)[r, c]] = codes[r, c]
+        return packed
+
+    swaps = (matched(x, hit) != matched(y, used)).sum(1) // 2
+    some = np.maximum(m, 1)
+    jaro = np.where(m > 0, (m / nx + m / ny + (m - swaps) / some) / 3, 0.0)
+    wide = min(4, x.shape[1], y.shape[1])
+    same = np.cumprod((x[:, :wide] == y[:, :wide]) & (x[:, :wide] > 0), 1).sum(1)
+    out[rows] = np.where(jaro > 0.7, jaro + same * 0.1 * (1 - jaro), jaro)
+    return out
+
+
 def common_subsequence(a: str, b: str) -> int:
     """Length of the longest common subsequence, a row of the table held in the bits of one integer."""
     at: dict[str, int] = {}
@@ -79,14 +123,22 @@ def token_similarity(a: str, b: str) -> float:
     return best
 
 
-@F.pandas_udf(T.DoubleType())
-def jaro_winkler_column(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([jaro_winkler(x or "", y or "") for x, y in zip(a, b)], dtype="float64")
+_TEXT = T.StructType([T.StructField("no", T.DoubleType()), T.StructField("vendor", T.DoubleType())])
+
+
+@F.pandas_udf(_TEXT)
+def text_similarities(no_a: pd.Series, no_b: pd.Series, vendor_a: pd.Series, vendor_b: pd.Series) -> pd.DataFrame:
+    """Both string measures of pairs: Jaro-Winkler of numbers, token similarity of vendors; 0 where one of two is empty."""
 
+    def column(a: list[str], b: list[str], measure) -> np.ndarray:
+        # neither empty nor equal, in one order, each pair once
+        pairs = [(x, y) if x < y else (y, x) for x, y in zip(a, b)]
+        asked = list(dict.fromkeys(p for p in pairs if p[0] and p[0] != p[1]))
+        known = dict(zip(asked, measure([x for x, _ in asked], [y for _, y in asked])))
+        return np.array([known.get(p, 1.0 if p[0] and p[0] == p[1] else 0.0) for p in pairs], float)
 
-@F.pandas_udf(T.DoubleType())
-def token_similarity_column(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([token_similarity(x or "", y or "") for x, y in zip(a, b)], dtype="float64")
+    tokens = lambda xs, ys: map(token_similarity, xs, ys)
+    return pd.DataFrame({"no": column(no_a.tolist(), no_b.tolist(), jaro_winkler_pairs), "vendor": column(vendor_a.tolist(), vendor_b.tolist(), tokens)})
 
 
 def amount_similarity(a: Column, b: Column) -> Column:

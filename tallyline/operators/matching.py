@@ -73,43 +73,61 @@ def _block_sizes(keys: DataFrame) -> DataFrame:
     return keys.groupBy("key").agg(F.count(F.lit(1)).alias("members"))
 
 
+#: Keys of oversized blocks up to which they are broadcast to the rows; beyond, the rows are joined with them by a shuffle.
+BROADCAST_KEYS = 1_000_000
+#: What is compared of two invoices.
+COMPARED = ("vendor", "invoice_no", "amount", "day", "tax_id", "period")
+
+
+def _blocked(rows: DataFrame, large: DataFrame, few: bool) -> DataFrame:
+    """(id_a, id_b and COMPARED of both), a before b in load order: each pair that shares a key not in ``large``, once.
+
+    Rows meet in one self join on the keys, whatever is compared travels along. A pair that shares both keys is emitted
+    by the first only, so nothing has to be made distinct. Members of an oversized block have lost its key before.
+    """
+    number = F.when((F.col("vendor_key") != "") & (F.col("invoice_no") != ""), F.concat(F.lit("vn|"), "vendor_key", F.lit("|"), "invoice_no"))
+    keyed = rows.select("id", "place", *COMPARED, number.alias("vn"), F.concat(F.lit("amt|"), F.col("amount").cast("string")).alias("amt"))
+    for kind in ("vn", "amt"):
+        left_out = large.where(F.startswith("key", F.lit(f"{kind}|"))).select(F.col("key").alias(kind), F.lit(True).alias("_large"))
+        joined = keyed.join(F.broadcast(left_out) if few else left_out, kind, "left")
+        keyed = joined.withColumn(kind, F.when(F.col("_large").isNull(), F.col(kind))).drop("_large")
+    held = keyed.withColumn("key", F.explode(F.array_compact(F.array("vn", "amt"))))
+    a = held.select("key", *(F.col(c).alias(f"{c}_a") for c in ("id", "place", "vn", *COMPARED)))
+    b = held.select("key", *(F.col(c).alias(f"{c}_b") for c in ("id", "place", "vn", *COMPARED)))
+    once = F.startswith("key", F.lit("vn|")) | ~F.coalesce(F.col("vn_a") == F.col("vn_b"), F.lit(False))
+    return a.join(b, "key").where((F.col("place_a") < F.col("place_b")) & once).drop("key", "place_a", "place_b", "vn_a", "vn_b")
+
+
+def _oversized(scratch: Scratch, rows: DataFrame, max_block: int) -> tuple[DataFrame, bool]:
+    """Keys with more than ``max_block`` members (at most one in ``max_block`` rows), kept; whether they are few."""
+    large = _block_sizes(blocking_keys(rows)).where(F.col("members") > max_block).select("key")
+    kept, seen = scratch.measured(large, n=F.count(F.lit(1)))
+    return kept, seen["n"] <= BROADCAST_KEYS
+
+
 def candidate_pairs(rows: DataFrame, max_block: int = MAX_BLOCK) -> DataFrame:
     """(id_a, id_b), a before b in load order: every pair that shares a key of 2 to ``max_block`` members.
 
     A larger block is left out as a whole, which is part of the definition: such a key tells too little. Sizes come from a
-    partial aggregate joined back, so the members of a huge block are dropped before anything is paired.
+    partial aggregate, and the members of a huge block lose its key before anything is paired.
     """
-    keys = blocking_keys(rows)
-    usable = _block_sizes(keys).where(F.col("members").between(2, max_block)).select("key")
-    held = keys.join(usable, "key")
-    a, b = held.select("key", F.col("id").alias("id_a"), F.col("place").alias("place_a")), held.select("key", F.col("id").alias("id_b"), F.col("place").alias("place_b"))
-    return a.join(b, "key").where("place_a < place_b").select("id_a", "id_b").distinct()
+    return _blocked(rows, *_oversized(Scratch(rows.sparkSession, "blocks"), rows, max_block)).select("id_a", "id_b")
 
 
-def blocking_stats(rows: DataFrame, max_block: int = MAX_BLOCK) -> DataFrame:
-    """One row: invoices, keys, keys left out for their size, candidate pairs, all pairs, and the share saved."""
+def blocking_stats(rows: DataFrame, max_block: int = MAX_BLOCK, pairs: DataFrame | None = None) -> DataFrame:
+    """One row: invoices, keys, keys left out for their size, candidate pairs, all pairs, and the share saved.
+
+    ``pairs``: the candidates, if they are at hand.
+    """
     keys = _block_sizes(blocking_keys(rows)).agg(F.count(F.lit(1)).alias("n_blocks"), F.count_if(F.col("members") > max_block).alias("n_skipped_blocks"))
     n = rows.agg(F.count(F.lit(1)).alias("n_invoices"))
-    found = candidate_pairs(rows, max_block).agg(F.count(F.lit(1)).alias("n_candidates"))
+    found = (candidate_pairs(rows, max_block) if pairs is None else pairs).agg(F.count(F.lit(1)).alias("n_candidates"))
     one = n.withColumn("one", F.lit(1)).join(keys.withColumn("one", F.lit(1)), "one").join(found.withColumn("one", F.lit(1)), "one").drop("one")
     naive = (F.col("n_invoices") * (F.col("n_invoices") - 1) / 2).cast("bigint")
     saved = F.when(F.col("naive_candidates") == 0, 0.0).otherwise(F.round(1.0 - F.col("n_candidates") / F.col("naive_candidates"), 6))
     return one.withColumn("naive_candidates", naive).withColumn("reduction", saved)
 
 
-def _by_distinct(pairs: DataFrame, a: str, b: str, kernel, out: str) -> DataFrame:
-    """Adds ``out`` = kernel(a, b), calling the Python kernel once for each distinct pair of different non-empty texts.
-
-    A condition doesn't keep rows from a Python kernel; a filter before it does.
-    """
-    ask = (F.col(a) != "") & (F.col(b) != "") & (F.col(a) != F.col(b))
-    texts = pairs.where(ask).select(F.least(a, b).alias("_x"), F.greatest(a, b).alias("_y")).distinct()
-    known = texts.withColumn("_s", kernel("_x", "_y"))
-    joined = pairs.join(known, (F.least(a, b) == F.col("_x")) & (F.greatest(a, b) == F.col("_y")), "left")
-    equal = F.when((F.col(a) == "") | (F.col(b) == ""), 0.0).when(F.col(a) == F.col(b), 1.0)
-    return joined.withColumn(out, F.coalesce(equal, "_s")).drop("_x", "_y", "_s")
-
-
 def label_of(score: Column, flag: float, review: float) -> Column:
     return F.when(score >= flag, FLAG).when(score >= review, REVIEW).otherwise(PASS)
 
@@ -120,12 +138,15 @@ def scored(rows: DataFrame, pairs: DataFrame, config: ScoringConfig = ScoringCon
     Weighted similarities; a floor where vendor and amount agree, the number differs and the dates are 1 to
     ``reinvoice_window_days`` apart; a cap where both tax ids are there and differ, which comes last.
     """
-    columns = ("id", "vendor", "invoice_no", "amount", "day", "tax_id", "period")
-    a = rows.select(*(F.col(c).alias(f"{c}_a") for c in columns))
-    b = rows.select(*(F.col(c).alias(f"{c}_b") for c in columns))
-    both = pairs.join(a, "id_a").join(b, "id_b")
-    both = _by_distinct(both, "invoice_no_a", "invoice_no_b", S.jaro_winkler_column, "s_no")
-    both = _by_distinct(both, "vendor_a", "vendor_b", S.token_similarity_column, "s_vendor")
+    a = rows.select(*(F.col(c).alias(f"{c}_a") for c in ("id", *COMPARED)))
+    b = rows.select(*(F.col(c).alias(f"{c}_b") for c in ("id", *COMPARED)))
+    return _scored(pairs.join(a, "id_a").join(b, "id_b"), config)
+
+
+def _scored(both: DataFrame, config: ScoringConfig) -> DataFrame:
+    """``scored`` of pairs that carry COMPARED of both; the two string measures are taken in one Arrow pass."""
+    both = both.withColumn("s", S.text_similarities("invoice_no_a", "invoice_no_b", "vendor_a", "vendor_b"))
+    both = both.withColumns({"s_no": F.col("s.no"), "s_vendor": F.col("s.vendor")})
     differs = (F.col("invoice_no_a") != F.col("invoice_no_b")) & (F.col("invoice_no_a") != "") & (F.col("invoice_no_b") != "")
     w = config.weights
     parts = both.withColumns({
@@ -160,7 +181,7 @@ def detect(invoices: DataFrame, config: ScoringConfig = ScoringConfig(), max_blo
     scratch = Scratch(invoices.sparkSession, "detect")
     needed = ("id", "vendor_name", "invoice_no", "amount", "invoice_date", "tax_id", "created_at")
     rows = scratch.keep(normalized(spread(invoices.select(*needed))))
-    pairs = scratch.keep(scored(rows, candidate_pairs(rows, max_block), config))
+    pairs = scratch.keep(_scored(_blocked(rows, *_oversized(scratch, rows, max_block)), config))
     counts = pairs.agg(F.count(F.lit(1)).alias("scored_pairs"), F.count_if(F.col("label") == FLAG).alias("flagged"), F.count_if(F.col("label") == REVIEW).alias("review"))
-    stats = blocking_stats(rows, max_block).withColumn("one", F.lit(1)).join(counts.withColumn("one", F.lit(1)), "one").drop("one")
+    stats = blocking_stats(rows, max_block, pairs).withColumn("one", F.lit(1)).join(counts.withColumn("one", F.lit(1)), "one").drop("one")
     return Detection(pairs, stats)

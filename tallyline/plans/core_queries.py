@@ -62,10 +62,7 @@ def blocking_keys(spark, d):
     return M.blocking_keys(M.normalized(table(spark, d, "invoices"))).select("key", "id")
 
 
-_CANDIDATES = f"""WITH n AS MATERIALIZED (SELECT * FROM {Q.normalized()} x), keys AS MATERIALIZED (
-       SELECT 'vn|' || vendor_key || '|' || invoice_no AS key, id, placed FROM n WHERE vendor_key <> '' AND invoice_no <> '' UNION ALL SELECT 'amt|' || amount, id, placed FROM n),
-       usable AS (SELECT key FROM keys GROUP BY key HAVING count(*) BETWEEN 2 AND 1000), held AS (SELECT k.* FROM keys k JOIN usable USING (key)),
-       pairs AS (SELECT DISTINCT a.id AS id_a, b.id AS id_b FROM held a JOIN held b ON a.key = b.key AND (a.placed < b.placed OR a.placed = b.placed AND a.id < b.id))"""
+_CANDIDATES = f"WITH {Q.CANDIDATES}"
 
 
 @query("candidate_pairs", f"{_CANDIDATES} SELECT * FROM pairs")
@@ -106,24 +103,38 @@ def similarity_amount_date(spark, d):
     )
 
 
-@query("similarity_vendor")
+@query("similarity_vendor", f"""WITH n AS MATERIALIZED (SELECT id, vendor FROM {Q.normalized()} x), p AS MATERIALIZED (SELECT DISTINCT p.id_a, p.id_b, a.vendor AS x, b.vendor AS y
+       FROM invoice_pairs p JOIN n a ON a.id = p.id_a JOIN n b ON b.id = p.id_b), {Q.vendor_similarities('p')}
+       SELECT id_a, id_b, round(CASE WHEN p.x = '' OR p.y = '' THEN 0.0 WHEN p.x = p.y THEN 1.0 ELSE similarity END::DOUBLE, 6) AS similarity
+       FROM p LEFT JOIN sims s ON s.x = least(p.x, p.y) AND s.y = greatest(p.x, p.y)""")
 def similarity_vendor(spark, d):
     scored = M.scored(M.normalized(table(spark, d, "invoices")), table(spark, d, "invoice_pairs").select("id_a", "id_b").distinct())
     return scored.select("id_a", "id_b", F.round("breakdown.vendor", 6).alias("similarity"))
 
 
-@query("detect_pairs")
+@query("detect_pairs", f"""WITH {Q.SCORED} SELECT id_a, id_b, score, label, round(s_no, 9) AS s_invoice_no, round(s_vendor, 9) AS s_vendor, round(s_amount, 9) AS s_amount, round(s_date, 9) AS s_date,
+       period_match AS billing_period_match, tax AS tax_id, CASE WHEN again THEN 'reinvoice_pattern' END AS rule FROM labelled""")
 def detect_pairs(spark, d):
-    """The flagship: every candidate pair of all invoices with score, label and breakdown."""
-    return M.detect(table(spark, d, "invoices")).pairs
+    """The flagship: every candidate pair of all invoices with score, label and what they are made of."""
+    b = {f"s_{c}": F.round(f"breakdown.{c}", 9) for c in ("invoice_no", "vendor", "amount", "date")}
+    found = M.detect(table(spark, d, "invoices")).pairs
+    return found.select("id_a", "id_b", "score", "label", *(c.alias(n) for n, c in b.items()), "breakdown.billing_period_match", "breakdown.tax_id", "breakdown.rule")
 
 
-@query("detect_stats")
+@query("detect_stats", f"""WITH {Q.SCORED}, sizes AS (SELECT key, count(*) AS c FROM keys GROUP BY key),
+       s AS (SELECT (SELECT count(*) FROM n) AS n_invoices, (SELECT count(*) FROM sizes) AS n_blocks, (SELECT count(*) FROM sizes WHERE c > 1000) AS n_skipped_blocks, count(*) AS n_candidates, count(*) AS scored_pairs,
+         count(*) FILTER (label = 'flag') AS flagged, count(*) FILTER (label = 'review') AS review FROM labelled)
+       SELECT *, n_invoices * (n_invoices - 1) // 2 AS naive_candidates, round(1.0::DOUBLE - n_candidates::DOUBLE / (n_invoices * (n_invoices - 1) // 2), 6) AS reduction FROM s""")
 def detect_stats(spark, d):
     return M.detect(table(spark, d, "invoices")).stats
 
 
-@query("detect_evaluated")
+@query("detect_evaluated", f"""WITH {Q.KNOWN}, {Q.SCORED}, s AS (SELECT least(id_a, id_b) AS key_a, greatest(id_a, id_b) AS key_b, score FROM labelled),
+       j AS (SELECT variant, coalesce(score, 0.0) AS s FROM known k FULL OUTER JOIN s ON k.key_a = s.key_a AND k.key_b = s.key_b),
+       c AS (SELECT count(*) FILTER (variant IS NOT NULL AND s >= 0.9) AS tp, count(*) FILTER (variant IS NOT NULL) AS gt_pairs, count(*) FILTER (s >= 0.9) AS flagged_pairs,
+       count(*) FILTER (s >= 0.7 AND s < 0.9) AS review_pairs, count(*) FILTER (s >= 0.7 AND s < 0.9 AND variant IS NOT NULL) AS gt_in_review FROM j), m AS (SELECT *, {Q.MEASURES} FROM c)
+       SELECT 0.9::DOUBLE AS threshold, tp, flagged_pairs - tp AS fp, gt_pairs - tp AS fn, precision, recall, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0.0 END AS f1,
+       gt_pairs, flagged_pairs, review_pairs, gt_in_review FROM m""")
 def detect_evaluated(spark, d):
     inv = table(spark, d, "invoices")
     return E.evaluate(inv, M.detect(inv).pairs)

@@ -6,7 +6,7 @@ from hypothesis import given
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tallyline.functions.similarity import common_subsequence, jaro_winkler, token_similarity
+from tallyline.functions.similarity import common_subsequence, jaro_winkler, jaro_winkler_pairs, token_similarity
 from tallyline.operators import matching as M
 from tallyline.sources import synthetic
 
@@ -116,9 +116,18 @@ def test_jaro_winkler_against_another_engine():
     pairs = [("".join(rng.choice("AB12") for _ in range(rng.randint(1, 9))), "".join(rng.choice("AB12") for _ in range(rng.randint(1, 9)))) for _ in range(3000)]
     con = duckdb.connect()
     for a, b in pairs:
+        assert jaro_winkler_pairs([a], [b])[0] == jaro_winkler(a, b)
         assert abs(jaro_winkler(a, b) - con.execute("select jaro_winkler_similarity(?, ?)", [a, b]).fetchone()[0]) < 1e-9
 
 
+def test_jaro_winkler_of_many_pairs_at_once():
+    import random
+
+    rng = random.Random(5)
+    a, b = (["".join(rng.choice("AB12Ж") for _ in range(rng.choice([1, 2, 5, 9, 14, 48, 49, 300]))) for _ in range(1500)] for _ in range(2))
+    assert jaro_winkler_pairs(a, b).tolist() == [jaro_winkler(x, y) for x, y in zip(a, b)] and len(jaro_winkler_pairs([], [])) == 0
+
+
 @given(st.text("abc ", max_size=12), st.text("abc ", max_size=12))
 def test_common_subsequence(a, b):
     table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
