@@ -12,8 +12,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyline.operators import evaluation as E
 from tallyline.operators.evaluation import pair_key
-from tallyline.operators.matching import REINVOICE, label_of
+from tallyline.operators.matching import REINVOICE, ScoringConfig, label_of
 
 # Features in order, weights that stay, prior means and strengths of those learned, verdicts needed.
 FEATURES = ("invoice_no", "vendor", "amount", "date", "period_match", "rule_period_match", "rule_period_diff")
@@ -21,7 +22,7 @@ PINNED = {"vendor": 0.25, "amount": 0.30}
 PRIOR_MEAN = {"invoice_no": 0.35, "date": 0.10, "period_match": 0.0, "rule_period_match": 0.0, "rule_period_diff": 0.0}
 PRIOR_STRENGTH = {"invoice_no": 1.0, "date": 4.0, "period_match": 1.0, "rule_period_match": 1.0, "rule_period_diff": 1.0}
 MIN_DECISIONS = 20
-#: Distinct vectors the driver takes. Beyond, vectors are rounded to three decimals, which sums them up further.
+#: Distinct vectors the driver takes; with more, the model isn't made.
 MAX_VECTORS = 2_000_000
 
 
@@ -110,7 +111,7 @@ def select_thresholds(scores: np.ndarray, positive: np.ndarray, n: np.ndarray |
     return flag, float(grid[int(np.argmax(f2[:at]))]) if at else flag / 2
 
 
-def build_model(pairs: DataFrame, invoices: DataFrame, decisions: DataFrame, model_id: str = "") -> TunedModel:
+def build_model(pairs: DataFrame, invoices: DataFrame, decisions: DataFrame, model_id: str = "", epochs: int = 30_000) -> TunedModel:
     """A model from the verdicts on pairs that a reviewer could see (label flag or review).
 
     At least MIN_DECISIONS verdicts, and both kinds among the visible pairs, are needed.
@@ -121,17 +122,16 @@ def build_model(pairs: DataFrame, invoices: DataFrame, decisions: DataFrame, mod
     seen = seen.groupBy("key_a", "key_b").agg(F.max_by(F.struct("id_a", "id_b", "breakdown"), F.struct("score", "id_a")).alias("x")).select("key_a", "key_b", "x.*")
     rows = with_features(seen, invoices).join(decisions.select("key_a", "key_b", "decision"), ["key_a", "key_b"])
     y = (F.col("decision") == "duplicate").cast("double").alias("y")
-    for decimals in (6, 3):
-        counted = rows.groupBy(*(F.round(f"f_{n}", decimals).alias(n) for n in FEATURES), y).agg(F.count(F.lit(1)).alias("n"))
-        got = counted.limit(MAX_VECTORS + 1).toPandas()
-        if len(got) <= MAX_VECTORS:
-            break
+    counted = rows.groupBy(*(F.round(f"f_{n}", 6).alias(n) for n in FEATURES), y).agg(F.count(F.lit(1)).alias("n"))
+    got = counted.limit(MAX_VECTORS + 1).toPandas()
+    if len(got) > MAX_VECTORS:
+        raise ValueError(f"more than {MAX_VECTORS} different vectors: round the similarities first")
     got = got.sort_values([*FEATURES, "y"])
     x, target, n = got[list(FEATURES)].to_numpy(float), got["y"].to_numpy(float), got["n"].to_numpy(float)
     positives = float((n * target).sum())
     if not 0 < positives < n.sum():
         raise ValueError("verdicts of both kinds are needed")
-    weights, bias = fit(x, target, n)
+    weights, bias = fit(x, target, n, epochs=epochs)
     model = TunedModel(weights, round(bias, 9), n_decisions=int(n.sum()), model_id=model_id)
     scores = model.scores(x)
     model.flag_threshold, model.review_threshold = select_thresholds(scores, target, n)
@@ -145,7 +145,7 @@ def build_model(pairs: DataFrame, invoices: DataFrame, decisions: DataFrame, mod
 
 
 def rescored(pairs: DataFrame, invoices: DataFrame, model: TunedModel) -> DataFrame:
-    """All pairs with the model's score and label; what was before stays in ``tuned``.
+    """All pairs with the model's score and label; what was before stays in ``breakdown.tuned``.
 
     Differing tax ids cap the score at half the review threshold.
     """
@@ -153,4 +153,49 @@ def rescored(pairs: DataFrame, invoices: DataFrame, model: TunedModel) -> DataFr
     score = F.when(F.col("breakdown.tax_id") == "mismatch", F.least(score, F.lit(0.5 * model.review_threshold))).otherwise(score)
     tuned = F.struct(F.col("score").alias("score_before"), F.col("label").alias("label_before"), F.lit(model.model_id or None).cast("string").alias("model"))
     rows = with_features(pairs, invoices).withColumn("_new", F.round(F.least(score, F.lit(1.0)), 9))
-    return rows.select("id_a", "id_b", F.col("_new").alias("score"), label_of(F.col("_new"), model.flag_threshold, model.review_threshold).alias("label"), "breakdown", tuned.alias("tuned"))
+    audited = F.col("breakdown").withField("tuned", tuned)
+    return rows.select("id_a", "id_b", F.col("_new").alias("score"), label_of(F.col("_new"), model.flag_threshold, model.review_threshold).alias("label"), audited.alias("breakdown"))
+
+
+@dataclass
+class Tuning:
+    """What tuning did: the model, figures before and after, rule fires, and pairs that were passed before and no longer are."""
+
+    model: TunedModel
+    before: dict
+    after: dict
+    rule_fires: list[dict]
+    no_longer_passed: int
+    pairs: DataFrame
+
+
+def tune(store, invoices: DataFrame, pairs: DataFrame, decisions: DataFrame, model_id: str, apply: bool = True, epochs: int = 30_000) -> Tuning:
+    """Learn a model from the verdicts, compare before and after, and (unless ``apply`` is False) make it the active one.
+
+    ``pairs`` are those of the untuned scoring. Applied, the model is recorded and the stored pairs are replaced.
+    """
+    from tallyline.sources.store import log_model
+
+    model = build_model(pairs, invoices, decisions, model_id, epochs)
+    rescored_pairs = rescored(pairs, invoices, model)
+    base = ScoringConfig()
+    before = E.evaluate(invoices, pairs, base.flag_threshold, base.review_threshold).first().asDict()
+    after = E.evaluate(invoices, rescored_pairs, model.flag_threshold, model.review_threshold).first().asDict()
+    fires = [r.asDict() for r in E.rule_fires(invoices, pairs).collect()]  # four rows at most
+    passed = pairs.where("label = 'pass'").select("id_a", "id_b")
+    lost = passed.join(rescored_pairs.where("label = 'pass'").select("id_a", "id_b"), ["id_a", "id_b"], "left_anti").count()
+    if apply:
+        store.replace("pairs", rescored_pairs)
+        log_model(store, model)
+    return Tuning(model, before, after, fires, lost, rescored_pairs)
+
+
+def reset(store, pairs: DataFrame) -> bool:
+    """Make no model the active one and store the untuned ``pairs``; whether a model had been active."""
+    from tallyline.sources.store import active_model, log_model
+
+    had = active_model(store) is not None
+    if had:
+        log_model(store, None, active=False)
+    store.replace("pairs", pairs)
+    return had

@@ -8,6 +8,7 @@ from tallyline.functions import extraction as X
 from tallyline.functions import normalize as N
 from tallyline.functions import similarity as S
 from tallyline.operators import evaluation as E
+from tallyline.operators import jobs as J
 from tallyline.operators import matching as M
 from tallyline.operators import review as R
 from tallyline.operators import tuning as L
@@ -44,11 +45,11 @@ def clamped_dates(spark, d):
     return table(spark, d, "invoices").select("id", N.clamped_date(y, m, F.lit(31)).alias("late"), N.clamped_date(y, m, F.lit(-3)).alias("early"))
 
 
-@query("parse_amounts")
+@query("parse_amounts", f"SELECT id, written, {Q.amount('written')} AS amount FROM (SELECT id, regexp_extract(raw_text, '(?im)^\\s*(?:amount(?:\\s*due)?|total)\\s*:\\s*(.+?)\\s*$', 1) AS written FROM invoices) w")
 def parse_amounts(spark, d):
-    """Amounts as they stand in the raw texts."""
+    """Amounts as they stand in the raw texts; '' for a text without one, null for a null text."""
     raw = F.regexp_extract("raw_text", r"(?im)^\s*(?:amount(?:\s*due)?|total)\s*:\s*(.+?)\s*$", 1)
-    return table(spark, d, "invoices").where("raw_text <> ''").select("id", raw.alias("written"), N.amount_parsed(raw).alias("amount"))
+    return table(spark, d, "invoices").select("id", raw.alias("written"), N.amount_parsed(raw).alias("amount"))
 
 
 @query("extract_fields")
@@ -239,7 +240,7 @@ def review_queue_undecided(spark, d):
 
 @query("pair_field_differences", """SELECT p.id_a, p.id_b, regexp_replace(lower(coalesce(a.vendor_name, '')), '[^a-z0-9]+', '', 'g') <> regexp_replace(lower(coalesce(b.vendor_name, '')), '[^a-z0-9]+', '', 'g') AS vendor_differs,
        regexp_replace(lower(coalesce(a.invoice_no, '')), '[^a-z0-9]+', '', 'g') <> regexp_replace(lower(coalesce(b.invoice_no, '')), '[^a-z0-9]+', '', 'g') AS number_differs,
-       a.amount IS DISTINCT FROM b.amount AS amount_differs, a.invoice_date IS DISTINCT FROM b.invoice_date AS date_differs
+       a.amount IS DISTINCT FROM b.amount AS amount_differs, a.invoice_date IS DISTINCT FROM b.invoice_date AS date_differs, a.tax_id IS DISTINCT FROM b.tax_id AS tax_id_differs
        FROM invoice_pairs p JOIN invoices a ON a.id = p.id_a JOIN invoices b ON b.id = p.id_b""")
 def pair_field_differences(spark, d):
     none = spark.createDataFrame([], "key_a string, key_b string, decision string, reviewer string, decided_at timestamp")
@@ -248,6 +249,7 @@ def pair_field_differences(spark, d):
     return q.select(
         "id_a", "id_b", loose["vendor_name"].alias("vendor_differs"), loose["invoice_no"].alias("number_differs"),
         (~F.col("a.amount").eqNullSafe(F.col("b.amount"))).alias("amount_differs"), (~F.col("a.invoice_date").eqNullSafe(F.col("b.invoice_date"))).alias("date_differs"),
+        (~F.col("a.tax_id").eqNullSafe(F.col("b.tax_id"))).alias("tax_id_differs"),
     )
 
 
@@ -256,9 +258,74 @@ def pairs_page(spark, d):
     return R.page(table(spark, d, "invoice_pairs"), [F.desc_nulls_last("score"), "id_a", "id_b", "created_at"], 100, 100).select("id_a", "id_b", "score")
 
 
-@query("invoices_page", """SELECT id, vendor_name, invoice_no, amount FROM invoices ORDER BY created_at NULLS FIRST, id LIMIT 100 OFFSET 200""")
+_PAGE = ("id", "source_type", "source_name", "extraction_method", "extraction_confidence", "vendor_name", "invoice_no", "amount", "currency", "invoice_date", "tax_id", "created_at", "duplicate_of", "variant")
+
+
+@query("invoices_page", f"""SELECT {', '.join(c for c in _PAGE if c != 'extraction_confidence')}, CASE WHEN NOT isnan(extraction_confidence) THEN extraction_confidence END AS extraction_confidence
+       FROM invoices ORDER BY created_at NULLS FIRST, id LIMIT 100 OFFSET 200""")
 def invoices_page(spark, d):
-    return R.page(table(spark, d, "invoices"), ["created_at", "id"], 100, 200).select("id", "vendor_name", "invoice_no", "amount")
+    c = F.col("extraction_confidence")
+    return R.page(table(spark, d, "invoices"), ["created_at", "id"], 100, 200).select(*_PAGE).withColumn("extraction_confidence", F.when(~F.isnan(c), c))
+
+
+@query("invoice_lookup", "SELECT id, vendor_name, invoice_no, amount FROM invoices WHERE id = 'iv00-000041'")
+def invoice_lookup(spark, d):
+    return R.lookup(table(spark, d, "invoices"), "id", "iv00-000041").select("id", "vendor_name", "invoice_no", "amount")
+
+
+_JOBS = """cur AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY finished_at DESC NULLS LAST, started_at DESC NULLS LAST, created_at DESC NULLS LAST,
+       coalesce(list_position(['pending', 'running', 'done', 'failed'], lower(trim(status))), 0) DESC, coalesce(error_text, '') DESC) AS rn FROM jobs WHERE id IS NOT NULL) q WHERE rn = 1)"""
+
+
+@query("job_states", f"WITH {_JOBS} SELECT job_type, lower(trim(status)) AS status, count(*) AS n FROM cur GROUP BY 1, 2")
+def job_states(spark, d):
+    return J.states(table(spark, d, "jobs"))
+
+
+@query("jobs_waiting", f"WITH {_JOBS} SELECT id, job_type, created_at FROM cur WHERE lower(trim(status)) = 'pending' ORDER BY created_at NULLS FIRST, id LIMIT 10")
+def jobs_waiting(spark, d):
+    return J.waiting(table(spark, d, "jobs"), 10)
+
+
+@query("jobs_failed", f"WITH {_JOBS} SELECT id, job_type, coalesce(error_text, '') AS error, finished_at FROM cur WHERE lower(trim(status)) = 'failed'")
+def jobs_failed(spark, d):
+    return J.failed(table(spark, d, "jobs"))
+
+
+@query("job_payloads", f"""WITH {_JOBS}, p AS (SELECT id, CASE WHEN json_valid(payload) THEN payload END AS payload FROM cur)
+       SELECT id, json_extract_string(payload, '$.file') AS file, CAST(json_extract_string(payload, '$.bytes') AS BIGINT) AS bytes, payload IS NOT NULL AS readable FROM p""")
+def job_payloads(spark, d):
+    return J.payloads(table(spark, d, "jobs"))
+
+
+@query("job_lookup", f"WITH {_JOBS} SELECT id, job_type, status FROM cur WHERE id = 'jb00-000007'")
+def job_lookup(spark, d):
+    return R.lookup(J.current_jobs(table(spark, d, "jobs")), "id", "jb00-000007").select("id", "job_type", "status")
+
+
+@query("score_contributions", """SELECT id_a, id_b, field, similarity, weight, round(similarity * weight, 9) AS contribution, CASE WHEN similarity >= 0.99 THEN 'high' WHEN similarity >= 0.85 THEN 'middle' ELSE 'low' END AS band FROM (
+       SELECT id_a, id_b, f.field, coalesce(f.s, 0.0)::DOUBLE AS similarity, f.w AS weight FROM (SELECT id_a, id_b, unnest([{'field': 'invoice_no', 's': breakdown.invoice_no, 'w': 0.35::DOUBLE}, {'field': 'vendor', 's': breakdown.vendor, 'w': 0.25::DOUBLE},
+       {'field': 'amount', 's': breakdown.amount, 'w': 0.30::DOUBLE}, {'field': 'date', 's': breakdown.date, 'w': 0.10::DOUBLE}]) AS f FROM invoice_pairs) u) v""")
+def score_contributions(spark, d):
+    return R.contributions(table(spark, d, "invoice_pairs"))
+
+
+@query("simulated_decisions", f"""WITH {Q.KNOWN}, s AS (SELECT DISTINCT least(id_a, id_b) AS id_a, greatest(id_a, id_b) AS id_b FROM invoice_pairs WHERE {Q.TIDY.format('label')} IN ('flag', 'review'))
+       SELECT s.id_a, s.id_b, CASE WHEN k.key_a IS NULL THEN 'not_duplicate' ELSE 'duplicate' END AS decision, 'simulated' AS reviewer FROM s LEFT JOIN known k ON k.key_a = s.id_a AND k.key_b = s.id_b""")
+def simulated_decisions(spark, d):
+    return R.simulated_decisions(table(spark, d, "invoices"), table(spark, d, "invoice_pairs"))
+
+
+@query("dashboard", f"""WITH {Q.DISTRIBUTION}, f AS (SELECT 0.9::DOUBLE AS threshold, {_COUNTS}, count(*) FILTER (score >= threshold AND gt) AS hits FROM (SELECT *, 0.9 AS threshold FROM dist) z),
+       n AS (SELECT count(*) AS n_invoices, nullif(count(*) FILTER (duplicate_of <> ''), 0) AS known FROM invoices),
+       l AS (SELECT count(*) FILTER (x = 'flag') AS label_flag, count(*) FILTER (x = 'review') AS label_review, count(*) FILTER (x = 'pass') AS label_pass FROM (SELECT {Q.TIDY.format('label')} AS x FROM invoice_pairs) z),
+       v AS (SELECT count(*) FILTER (decision = 'duplicate') AS verdict_duplicate, count(*) FILTER (decision = 'not_duplicate') AS verdict_not_duplicate FROM decided)
+       SELECT f.threshold, flagged, value_at_risk, decided, decided_duplicate, n_invoices, known, label_flag, label_review, label_pass, verdict_duplicate, verdict_not_duplicate,
+       CASE WHEN known IS NOT NULL THEN hits END AS tp, CASE WHEN known IS NOT NULL THEN flagged - hits END AS fp, CASE WHEN known IS NOT NULL THEN coalesce(CASE WHEN flagged > 0 THEN round(hits / flagged, 4) END, 0.0) END::DOUBLE AS precision,
+       CASE WHEN known > 0 THEN round(hits / known, 4) END AS recall, CASE WHEN decided > 0 THEN round(decided_duplicate / decided, 4) END AS estimated_precision FROM f, n, l, v""")
+def dashboard(spark, d):
+    """Counts and figures at the threshold of the untuned scoring."""
+    return R.dashboard(table(spark, d, "invoices"), table(spark, d, "invoice_pairs"), table(spark, d, "review_decisions"))
 
 
 @query("feature_rows", """SELECT p.id_a, p.id_b, coalesce(p.breakdown.invoice_no, 0.0) AS f_invoice_no, coalesce(p.breakdown.date, 0.0) AS f_date, m.same AS f_period_match,

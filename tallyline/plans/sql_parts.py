@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallyline.functions.normalize import LEGAL_ANYWHERE, LEGAL_AT_END
+from tallyline.functions.normalize import CURRENCY_WORDS, LEGAL_ANYWHERE, LEGAL_AT_END
 
 
 def _list(values) -> str:
@@ -31,6 +31,21 @@ def tax_id(raw: str) -> str:
     return f"regexp_replace(coalesce({raw}, ''), '[^0-9]+', '', 'g')"
 
 
+def amount(raw: str) -> str:
+    """Whole units of an amount as ``normalize.amount_parsed`` reads it."""
+
+    def single(mark: str) -> str:
+        parts = f"string_split(t, '{mark}')"
+        return f"CASE WHEN len(list_filter({parts}[2:], lambda p: length(p) <> 3)) = 0 THEN array_to_string({parts}, '') ELSE replace(t, '{mark}', '.') END"
+
+    words = "|".join(CURRENCY_WORDS)
+    cleaned = f"regexp_replace(regexp_replace(regexp_replace({raw}, '(?i)\\b(?:{words})\\b\\.?', ' ', 'g'), '[^\\d.,\\-]', '', 'g'), '^[., ]+|[., ]+$', '', 'g')"
+    last = lambda mark: f"length(t) - strpos(reverse(t), '{mark}')"
+    return f"""(SELECT CASE WHEN regexp_full_match(plain, '-?\\d*\\.?\\d*') AND regexp_matches(plain, '\\d') THEN TRY_CAST(round(TRY_CAST(plain AS DECIMAL(38, 10)), 0) AS BIGINT) END FROM (
+        SELECT CASE WHEN contains(t, ',') AND contains(t, '.') THEN CASE WHEN {last(',')} > {last('.')} THEN replace(replace(t, '.', ''), ',', '.') ELSE replace(t, ',', '') END
+        WHEN contains(t, ',') THEN {single(',')} WHEN contains(t, '.') THEN {single('.')} ELSE t END AS plain FROM (SELECT {cleaned} AS t) c) q)"""
+
+
 def normalized(table: str = "invoices") -> str:
     return f"""(SELECT *, {key('vendor')} AS vendor_key FROM (
         SELECT id, coalesce(created_at, TIMESTAMP '0001-01-01') AS placed, {vendor('vendor_name')} AS vendor, {invoice_no('invoice_no')} AS invoice_no,

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from tallyline.functions import extraction as X
 from tallyline.sources.images import UnreadableImage, read_text
+from tallyline.sources.vision import VisionClient
 
 #: Largest upload taken.
 MAX_BYTES = 10 * 1024 * 1024
@@ -31,13 +32,23 @@ def kind_of(content: Column) -> Column:
     return out
 
 
-def scan_documents(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
-    """(path, content, kind) of the acceptable files of a folder: of a known kind and not above MAX_BYTES."""
+def scan_documents(spark: SparkSession, path: str, stream: bool = False, rejects: bool = False) -> DataFrame:
+    """(path, content, kind) of the acceptable files of a folder: of a known kind and not above MAX_BYTES.
+
+    With ``rejects`` the others come as well, without content, and why in ``rejected`` (null for acceptable ones). What is
+    too large isn't read.
+    """
     reader = (spark.readStream if stream else spark.read).format("binaryFile")
     if stream:
         reader = reader.schema("path string, modificationTime timestamp, length bigint, content binary")
-    df = reader.load(path).where(F.col("length") <= MAX_BYTES)
-    return df.select("path", "content", kind_of(F.col("content")).alias("kind")).where("kind is not null")
+    kind = kind_of(F.col("content"))
+    df = reader.load(path).where(F.col("length") <= MAX_BYTES).select("path", "content", kind.alias("kind"))
+    if not rejects:
+        return df.where("kind is not null")
+    unknown = F.when(F.col("kind").isNull(), F.lit("neither PDF, PNG nor JPEG"))
+    known = df.select("path", F.when(F.col("kind").isNotNull(), F.col("content")).alias("content"), "kind", unknown.alias("rejected"))
+    large = reader.load(path).where(F.col("length") > MAX_BYTES)
+    return known.unionByName(large.select("path", F.lit(None).cast("binary").alias("content"), F.lit(None).cast("string").alias("kind"), F.lit(f"larger than {MAX_BYTES} bytes").alias("rejected")))
 
 
 def _literal(token: bytes) -> str:
@@ -143,15 +154,47 @@ def _read(content: pd.Series, kind: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["text", "method", "error"])
 
 
-#: Confidence of the recogniser in a fully read photo.
+#: Confidence of the built-in recogniser in a fully read photo.
 VISION_CONFIDENCE = 0.95
 
 
-def read_documents(documents: DataFrame) -> DataFrame:
+def _asked(client: VisionClient):
+    """A column function: the client's answer for each document, or why there is none."""
+
+    @F.pandas_udf("struct<answer:string,error:string>")
+    def ask(content: pd.Series, kind: pd.Series, wanted: pd.Series) -> pd.DataFrame:
+        rows = []
+        for data, k, w in zip(content, kind, wanted):
+            try:
+                rows.append((client.answer(data, k) if w else None, None))
+            except Exception as broken:  # noqa: BLE001 - any bad document must fail alone
+                rows.append((None, f"{type(broken).__name__}: {broken}"[:500]))
+        return pd.DataFrame(rows, columns=["answer", "error"])
+
+    return ask
+
+
+def read_documents(documents: DataFrame, client: VisionClient | None = None) -> DataFrame:
     """(path, text, method, error, fields, missing, confidence) of scanned documents.
 
-    A photo's confidence is the recogniser's, times the share of fields found, times that share again for completeness.
+    PDF files with a text layer are read as text. All else is a picture, for which ``client`` answers, or the built-in
+    reader; the answer is kept as ``text``, checked, and an invalid one is an error. A picture's confidence is the
+    recogniser's times the share of core fields found. Rejected documents have that as their error.
     """
-    out = X.extracted(documents.withColumn("r", _read("content", "kind")).select("path", "r.*"), "text")
-    model = F.round(VISION_CONFIDENCE * F.col("confidence"), 2)
-    return out.withColumn("confidence", F.when(F.col("method") == "vision", F.round(model * F.col("confidence"), 2)).otherwise(F.col("confidence")))
+    out = X.extracted(documents.withColumn("r", _read("content", "kind")).select(*documents.columns, "r.*"), "text")
+    pictured = (F.col("method") == "vision") & F.col("error").isNull()
+    if client is None:
+        f, sure = F.col("fields"), F.round(VISION_CONFIDENCE * F.col("confidence"), 2)
+        own = F.struct(f["vendor_name"].alias("vendor_name"), f["invoice_no"].alias("invoice_no"), f["invoice_date"].cast("string").alias("invoice_date"), f["amount"].alias("amount"), f["tax_id"].alias("tax_id"), sure.alias("extraction_confidence"))
+        out = out.withColumn("a", F.struct(F.when(pictured, F.to_json(own)).alias("answer"), F.lit(None).cast("string").alias("error")))
+    else:
+        out = out.withColumn("a", _asked(client)("content", "kind", pictured & F.col("kind").isNotNull()))
+    v = X.validated(F.col("a.answer"))
+    out = out.withColumn("v", v)
+    invalid = F.when(pictured, F.coalesce(F.col("a.error"), F.col("v.error")))
+    rejected = F.col("rejected") if "rejected" in documents.columns else F.lit(None).cast("string")
+    seen = F.struct(*(F.col(f"v.{n}").alias(n) for n in ("vendor_name", "invoice_no", "amount", "invoice_date", "tax_id")))
+    out = out.withColumns({"fields": F.when(pictured, seen).otherwise(F.col("fields")), "error": F.coalesce(rejected, F.col("error"), invalid), "text": F.when(pictured, F.col("a.answer")).otherwise(F.col("text"))})
+    out = out.withColumn("missing", X.missing_of(F.col("fields")))
+    found = F.round((len(X.CORE_FIELDS) - F.size("missing")) / float(len(X.CORE_FIELDS)), 2)
+    return out.select("path", "text", "method", "error", "fields", "missing", F.when(F.col("method") == "vision", F.round(F.col("v.confidence") * found, 2)).otherwise(found).alias("confidence"))

@@ -30,10 +30,14 @@ def write_invoices(df: DataFrame, path: str, mode: str = "errorifexists") -> Non
     df.select(*[c.split()[0] for c in INVOICE.split(", ")]).write.mode(mode).option("ignoreNullFields", "false").json(path)
 
 
-def write_pairs(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """One line a pair; score and similarities are rounded to four decimals here and nowhere before."""
+def write_pairs(df: DataFrame, path: str, mode: str = "errorifexists", ordered: bool = False) -> None:
+    """One line a pair; score and similarities are rounded to four decimals here and nowhere before.
+
+    ``ordered``: by both ids, over all files; what is written is sorted, nothing before.
+    """
     b = F.col("breakdown")
     fields = [f.name for f in df.schema["breakdown"].dataType.fields]
     numbers = ("invoice_no", "vendor", "amount", "date", "billing_period_match")
     parts = F.struct(*((F.round(b[f], 4) if f in numbers else b[f]).alias(f) for f in fields))
-    df.select("id_a", "id_b", F.round("score", 4).alias("score"), "label", parts.alias("breakdown")).write.mode(mode).json(path)
+    rows = df.select("id_a", "id_b", F.round("score", 4).alias("score"), "label", parts.alias("breakdown"))
+    (rows.orderBy("id_a", "id_b") if ordered else rows).write.mode(mode).json(path)

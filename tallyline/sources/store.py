@@ -24,6 +24,11 @@ class Store:
     def _path(self, name: str):
         return self._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
 
+    def init(self, *names: str) -> None:
+        """Make the folders of tables that aren't there yet; what is there stays."""
+        for name in names:
+            self._fs.mkdirs(self._path(f"{name}/rows"))
+
     def append(self, name: str, df: DataFrame) -> None:
         df.write.mode("append").parquet(f"{self.root}/{name}/rows")
 

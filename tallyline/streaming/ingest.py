@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 from tallyline.functions.extraction import as_invoices
 from tallyline.operators.matching import ScoringConfig, detect
 from tallyline.operators.tuning import rescored
+from tallyline.plans.lineage import Scratch
 from tallyline.sources.documents import read_documents, scan_documents
 from tallyline.sources.store import Store, active_model
+from tallyline.sources.vision import VisionClient
 
 INVOICES = (
     "id string, vendor_name string, invoice_no string, amount bigint, currency string, invoice_date date, tax_id string, "
@@ -22,9 +24,9 @@ INVOICES = (
 AUDIT = "source_name string, status string, error string, batch bigint"
 
 
-def invoice_stream(spark: SparkSession, inbox: str) -> DataFrame:
-    """The documents of ``inbox`` as a stream of read documents."""
-    return read_documents(scan_documents(spark, inbox, stream=True))
+def invoice_stream(spark: SparkSession, inbox: str, client: VisionClient | None = None) -> DataFrame:
+    """The documents of ``inbox`` as a stream of read documents; files that aren't accepted come with an error."""
+    return read_documents(scan_documents(spark, inbox, stream=True, rejects=True), client)
 
 
 def refresh_pairs(store: Store, config: ScoringConfig = ScoringConfig()) -> None:
@@ -37,25 +39,26 @@ def refresh_pairs(store: Store, config: ScoringConfig = ScoringConfig()) -> None
 
 def _take(store: Store, config: ScoringConfig):
     def batch(documents: DataFrame, number: int) -> None:
-        read = documents.withColumn("id", F.concat(F.lit("doc-"), F.substring(F.sha2("path", 256), 1, 16))).persist()
-        try:
+        with Scratch(store.spark, "ingest") as scratch:
+            read = scratch.keep(documents.withColumn("id", F.concat(F.lit("doc-"), F.substring(F.sha2("path", 256), 1, 16))))
             good = read.where("error is null")
             extra = good.select("id", F.col("path").alias("source_name"), F.col("method").alias("extraction_method"), F.col("confidence").alias("extraction_confidence"))
             known = store.read("invoices", INVOICES).select("id")  # a batch that is run again adds nothing twice
             rows = as_invoices(good).join(extra, "id").join(known, "id", "left_anti").withColumn("created_at", F.current_timestamp())
             store.append("invoices", rows.select(*[c.split()[0] for c in INVOICES.split(", ")]))
-            store.append("audit", read.select(F.col("path").alias("source_name"), F.when(F.col("error").isNull(), "done").otherwise("failed").alias("status"), "error", F.lit(number).alias("batch")))
+            status = F.when(F.col("error").isNull(), "done").otherwise("failed")
+            audit = read.select(F.col("path").alias("source_name"), status.alias("status"), "error", F.lit(number).cast("bigint").alias("batch"))
+            told = store.read("audit", AUDIT).where(F.col("batch") == number).select("source_name")
+            store.append("audit", audit.join(told, "source_name", "left_anti").select(*[c.split()[0] for c in AUDIT.split(", ")]))
             refresh_pairs(store, config)
-        finally:
-            read.unpersist()
 
     return batch
 
 
-def run(spark: SparkSession, inbox: str, root: str, once: bool = True, config: ScoringConfig = ScoringConfig()):
+def run(spark: SparkSession, inbox: str, root: str, once: bool = True, config: ScoringConfig = ScoringConfig(), client: VisionClient | None = None):
     """Start the stream; with ``once`` it ends when all files present are done, else it looks again every second."""
     store = Store(spark, root)
-    writer = invoice_stream(spark, inbox).writeStream.foreachBatch(_take(store, config)).option("checkpointLocation", f"{root}/checkpoint")
+    writer = invoice_stream(spark, inbox, client).writeStream.foreachBatch(_take(store, config)).option("checkpointLocation", f"{root}/checkpoint")
     query = (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="1 second")).start()
     if once:
         query.awaitTermination()

@@ -87,3 +87,37 @@ def test_heavy_keys(spark):
     assert got == {"a": (60, 60, t), "b": (3, 6, None), None: (1, None, t), "": (2, None, t)}
     assert {r.k for r in heavy_values(df, "k", 10).collect()} == {"a"}
     assert totals_by_key(df.limit(0), "k", "amount", "at").isEmpty() and heavy_values(df.limit(0), "k").isEmpty()
+
+
+def test_decisions_tuning_and_dashboard(spark, tmp_path):
+    from tallyline.operators import matching as M
+    from tallyline.sources import jsonl, synthetic
+    from tallyline.sources.store import Store, active_model
+
+    store = Store(spark, str(tmp_path / "w"))
+    inv = synthetic.generate(spark, 600, 0.1, 5).cache()
+    pairs = M.detect(inv).pairs.cache()
+    first = pairs.where("label = 'flag'").orderBy("id_a", "id_b").first()
+    with pytest.raises(ValueError):
+        R.record_decision(store, pairs, first.id_a, first.id_b, "maybe")
+    with pytest.raises(KeyError):
+        R.record_decision(store, pairs, "x", "y", "duplicate")
+    assert R.record_decision(store, pairs, first.id_a, first.id_b, "duplicate", "me").first().reviewer == "me"
+    assert store.read("decisions", R.DECISION_LOG).count() == 1
+    log = R.simulated_decisions(inv, pairs).withColumn("decided_at", F.current_timestamp())
+    latest = R.latest_decisions(log)
+    done = L.tune(store, inv, pairs, latest, "m1", apply=False)
+    assert active_model(store) is None and done.no_longer_passed == 0 and done.after["recall"] >= done.before["recall"] * 0.99
+    done = L.tune(store, inv, pairs, latest, "m1")
+    assert active_model(store).model_id == "m1"
+    stored = store.read("pairs", jsonl.PAIR)
+    assert stored.where("breakdown.tuned.model = 'm1' and breakdown.tuned.score_before is not null").count() == pairs.count()
+    jsonl.write_pairs(stored, str(tmp_path / "out"), ordered=True)
+    assert jsonl.read_pairs(spark, str(tmp_path / "out")).where("breakdown.tuned.label_before = 'flag'").count() == pairs.where("label = 'flag'").count()
+    shown = R.dashboard(inv, stored, log, done.model).first()
+    assert shown.threshold == done.model.flag_threshold and shown.known == 60 and shown.n_invoices == 660 and shown.recall >= 0.9
+    assert R.dashboard(inv.limit(0), stored.limit(0), log.limit(0)).first().asDict() | {"threshold": 0} == {
+        "flagged": 0, "value_at_risk": 0, "tp": None, "decided": 0, "decided_duplicate": 0, "n_invoices": 0, "known": None, "label_flag": 0, "label_review": 0, "label_pass": 0,
+        "verdict_duplicate": 0, "verdict_not_duplicate": 0, "threshold": 0, "fp": None, "precision": None, "recall": None, "estimated_precision": None,
+    }
+    assert L.reset(store, pairs) and active_model(store) is None and not L.reset(store, pairs)

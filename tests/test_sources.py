@@ -139,4 +139,32 @@ def test_ingest(spark, tmp_path):
     (inbox / "c.pdf").write_bytes(documents.make_pdf(["Invoice No: 7"]))
     ingest.run(spark, str(inbox), root)
     assert s.read("invoices", ingest.INVOICES).count() == 4
-    assert s.read("audit", ingest.AUDIT).where("status = 'done'").count() == 4
+    audit = s.read("audit", ingest.AUDIT)
+    assert audit.where("status = 'done'").count() == 4
+    assert [r.error for r in audit.where("status = 'failed'").collect()] == ["neither PDF, PNG nor JPEG"]
+    assert rows.where("extraction_confidence = 0.95").count() == 1
+
+
+def test_asked_recognisers(spark):
+    from tallyline.sources.vision import ChatClient
+
+    sent = []
+
+    def send(url, body, headers, seconds):
+        sent.append((url, json.loads(body), headers))
+        return json.dumps({"choices": [{"message": {"content": '{"vendor_name": "A"}'}}]}).encode()
+
+    client = ChatClient("http://x", "m", "k", send=send)
+    assert json.loads(client.answer(b"abc", "png")) == {"vendor_name": "A"} and "data:image/png;base64,YWJj" in json.dumps(sent[0][1]) and sent[0][2]["Authorization"] == "Bearer k"
+    with pytest.raises(RuntimeError):
+        ChatClient("http://x", "m", send=lambda *a: b"{}").answer(b"", "png")
+
+    class Told:
+        def answer(self, content, kind):
+            return {b"1": '{"vendor_name": "A", "invoice_no": "7", "amount": 5, "invoice_date": "2024-01-02", "extraction_confidence": 0.8}', b"2": '{"amount": []}'}[bytes(content[-1:])]
+
+    png, jpeg = documents.MAGIC["png"], documents.MAGIC["jpeg"]
+    df = spark.createDataFrame([("a", bytearray(jpeg + b"1"), "jpeg"), ("b", bytearray(png + b"2"), "png"), ("c", bytearray(png + b"3"), "png")], "path string, content binary, kind string")
+    got = {r.path: r for r in documents.read_documents(df, Told()).collect()}
+    assert (got["a"].fields.vendor_name, got["a"].fields.amount, got["a"].confidence, got["a"].error) == ("A", 5, 0.8, None)
+    assert "amount" in got["b"].error and "KeyError" in got["c"].error
