@@ -1,17 +1,22 @@
 """Duplicates hidden by formatting: recursive radix partitioning on canonical bytes, tries with terminal counters.
 
 Canonical bytes of a record are its exactly compared fields and the sorted characters of its number, which neither
-case, blanks, punctuation nor the order of parts can change. A digest of them goes first, because names begin alike: its
-digits spread evenly. The distinct written forms (counted with partial aggregates, so a form with a third of all rows is
-one row) are split by the first bytes; buckets above the budget are split by further bytes until each fits. Each bucket
-is then one trie over the canonical bytes, whose terminals count copies and hold the written forms met there.
+case, blanks, punctuation nor the order of parts can change. What differs most comes first: the digits of the amount from
+the last one on, then the number, then the rest. The distinct written forms (counted with partial aggregates, so a form
+with a third of all rows is one row) are split by the first bytes; buckets above the budget are split by further bytes
+until each fits. Each bucket is then one trie over the canonical bytes, whose terminals count copies and hold the written
+forms met there.
 
 Equal sorted characters are necessary, not sufficient. At a terminal two forms are one number if the parts of one, in
-some order, spell out the other; forms linked this way, directly or through others, are one record.
+some order, spell out the other; forms linked this way, directly or through others, are one record. What a form spells is
+looked up among the texts met at the terminal, so forms aren't compared in pairs.
 """
 
 from __future__ import annotations
 
+from itertools import permutations
+from math import factorial
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,8 +27,10 @@ from tallyline.plans.lineage import Scratch
 EXACT = ("vendor_name", "amount", "currency", "invoice_date", "tax_id")
 #: Written forms in one bucket at most, unless all its canonical bytes are equal.
 BUCKET_FORMS = 50_000
-#: Digits of the digest by which each level of partitioning divides.
+#: Bytes by which each level of partitioning divides.
 DIGITS = 2
+#: Orders of a form's parts that are spelled out; with more, it is compared with the texts at its terminal one by one.
+ORDERS = 720
 STRIDE = 6
 
 
@@ -53,12 +60,15 @@ def _runs(text: str) -> list[str]:
 
 def same_number(a: str, b: str) -> bool:
     """Two written forms (lower-case parts joined by blanks) that differ in punctuation and order of parts only."""
-    pa, pb = a.split(), b.split()
-    ca, cb = "".join(pa), "".join(pb)
-    if ca == cb:
-        return True
-    pa, pb = (pa if len(pa) > 1 else _runs(ca)), (pb if len(pb) > 1 else _runs(cb))
-    return spells(pa, cb) or spells(pb, ca)
+    ca, cb = "".join(a.split()), "".join(b.split())
+    return ca == cb or any(spells(p, cb) for p in _parts(a)) or any(spells(p, ca) for p in _parts(b))
+
+
+def _parts(form: str) -> list[list[str]]:
+    """The parts of a form as written, and with letters and digits apart where that makes more of them."""
+    written = form.split()
+    runs = [r for p in written for r in _runs(p)]
+    return [written] if runs == written else [written, runs]
 
 
 class Trie:
@@ -90,16 +100,27 @@ def _classes(forms: list[str]) -> list[int]:
             i = head[i]
         return i
 
-    # exact keys first: the comparison in pairs is left for one form of each spelling and each set of parts
+    def link(i: int, j: int) -> None:
+        i, j = find(i), find(j)
+        head[max(i, j)] = min(i, j)
+
+    # texts and sets of parts first; what is left is looked up among the texts
+    texts: dict[str, int] = {}
     first: dict = {}
     for i, f in enumerate(forms):
-        for key in ("".join(f.split()), tuple(sorted(f.split()))):
-            j = first.setdefault(key, i)
-            head[max(find(i), find(j))] = min(find(i), find(j))
-    for i in range(len(forms)):
-        for j in range(i):
-            if find(i) != find(j) and same_number(forms[i], forms[j]):
-                head[max(find(i), find(j))] = min(find(i), find(j))
+        link(i, texts.setdefault("".join(f.split()), i))
+        for parts in _parts(f):
+            link(i, first.setdefault(tuple(sorted(parts)), i))
+    for i, parts in {key: (i, key) for key, i in first.items()}.values():
+        if factorial(len(parts)) <= ORDERS:
+            for order in set(permutations(parts)):
+                j = texts.get("".join(order))
+                if j is not None:
+                    link(i, j)
+        else:
+            for text, j in texts.items():
+                if find(i) != find(j) and spells(list(parts), text):
+                    link(i, j)
     return [find(i) for i in range(len(forms))]
 
 
@@ -133,26 +154,25 @@ def _canonical(df: DataFrame) -> DataFrame:
         return F.coalesce(F.concat(F.length(text).cast("string"), F.lit(":"), text), F.lit("~"))
 
     letters = F.array_join(F.array_sort(F.split(F.replace("form", F.lit(" "), F.lit("")), "")), "")
-    whole = F.concat_ws("|", letters, *(exact(c) for c in EXACT))
     kept = df.where(~missing(F.col("invoice_no"))).select("id", form.alias("form"), *EXACT)
-    keyed = kept.select("id", "form", whole.alias("canonical"))
-    digest = F.lpad(F.hex(F.xxhash64("canonical")), 16, "0")
-    return keyed.select("id", "form", F.concat(digest, "canonical").alias("canonical"))
+    spread = F.reverse(exact("amount"))
+    whole = F.concat_ws("|", spread, letters, *(exact(c) for c in EXACT if c != "amount"))
+    return kept.select("id", "form", whole.alias("canonical"))
 
 
 def _buckets(scratch: Scratch, forms: DataFrame, budget: int) -> DataFrame:
     """Adds ``bucket``, a prefix of ``canonical``, long enough for each bucket to fit or its keys to be all equal."""
-    depth = DIGITS
+    depth, done = DIGITS, None
     forms = forms.withColumn("bucket", F.substring("canonical", 1, depth))
     while True:
         sizes = forms.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("canonical").alias("a"), F.max("canonical").alias("b"))
-        large = scratch.keep(sizes.where((F.col("size") > budget) & (F.col("a") != F.col("b"))).select("bucket", F.lit(True).alias("split")))
-        if large.isEmpty():
-            return forms
-        depth += DIGITS
-        forms = forms.join(large, "bucket", "left").select(
-            *(c for c in forms.columns if c != "bucket"), F.when(F.col("split"), F.substring("canonical", 1, depth)).otherwise(F.col("bucket")).alias("bucket")
-        )
+        large, seen = scratch.measured(sizes.where((F.col("size") > budget) & (F.col("a") != F.col("b"))).select("bucket"), n=F.count(F.lit(1)))
+        if not seen["n"]:
+            return forms if done is None else done.unionByName(forms)
+        # what fits is done with; only the rest is split further
+        fits, depth = forms.join(large, "bucket", "left_anti"), depth + DIGITS
+        done = fits if done is None else done.unionByName(fits)
+        forms = scratch.keep(forms.join(large, "bucket", "left_semi").withColumn("bucket", F.substring("canonical", 1, depth)))
 
 
 def written_forms(invoices: DataFrame, budget: int = BUCKET_FORMS) -> tuple[DataFrame, DataFrame]:

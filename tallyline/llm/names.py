@@ -116,22 +116,36 @@ def part_cost(a: str, b: str) -> float | None:
 
 
 def _align(a: tuple[str, ...], b: tuple[str, ...]) -> tuple[float, int, int] | None:
-    """Cheapest one-to-one reading of all parts of ``a`` (the shorter) in ``b``: (cost, exact or near parts, parts left)."""
+    """Cheapest one-to-one reading of all parts of ``a`` (the shorter) in ``b``: (cost, exact or near parts, parts left).
+
+    Equal parts are read as each other; so few others can be within MAX_COST that they are tried in every order.
+    """
+    left, rest, strong = list(b), [], 0
+    for part in a:
+        if part in left:
+            left.remove(part)
+            strong += len(part) >= 3
+        else:
+            rest.append(part)
+    found = _paired(tuple(rest), tuple(left), MAX_COST)
+    return None if found is None else (found[0], found[1] + strong, found[2])
+
+
+def _paired(a: tuple[str, ...], b: tuple[str, ...], budget: float) -> tuple[float, int, int] | None:
+    """``_align`` of unequal parts for at most ``budget``."""
     if not a:
         return 0.0, 0, len(b)
     best = None
-    for j, part in enumerate(b):
+    # no two unequal parts are cheaper than a half
+    for j, part in enumerate(b if 0.5 * len(a) <= budget else ()):
         c = part_cost(a[0], part)
-        if c is None:
+        if c is None or c > budget:
             continue
-        rest = _align(a[1:], b[:j] + b[j + 1 :])
+        rest = _paired(a[1:], b[:j] + b[j + 1 :], budget - c)
         if rest is not None:
-            strong = c <= 1.0 and min(len(a[0]), len(part)) >= 3
-            found = (c + rest[0], rest[1] + strong, rest[2])
+            found = (c + rest[0], rest[1] + (c <= 1.0 and min(len(a[0]), len(part)) >= 3), rest[2])
             if best is None or found[0] < best[0]:
                 best = found
-        if c == 0.0:
-            break
     return best
 
 
@@ -167,12 +181,10 @@ def name_cost(a: tuple[tuple[str, ...], str], b: tuple[tuple[str, ...], str]) ->
             return 3.5
         if near("".join(pa), "".join(pb)) and len(pa[0]) >= 8:
             return 1.5 + legal
-    if len(pa) > 6:
-        return 1.0 + legal if near("".join(sorted(pa)), "".join(sorted(pb))) else None
     best = None
     merged = [(m, y) for x, y in ((pa, pb), (pb, pa)) if len(x) == len(y) + 1 for m in _merged(x)]
     for x, y in [(pa, pb), *merged]:
-        if len(y) - len(x) > 1 or len(y) > 7:
+        if len(y) - len(x) > 1:
             continue
         found = _align(x, y)
         if found is None:

@@ -1,11 +1,12 @@
 """Variant spellings of names: a trie join finds names that share a part up to a typo, a comparison in any order decides.
 
 1. Names are reduced to distinct forms (folded parts and legal form) with partial counts; all else works on forms.
-2. Each form is known by *keys*: its two rarest parts (whatever is left out or abbreviated, one of them stays), all parts
-   written together, and for acronyms the initials. Common words therefore never pair names up.
+2. Each form is known by *keys*: its two rarest parts (if one is left out or abbreviated, the other stays), all parts
+   written together, and for acronyms the initials.
 3. The distinct keys are sharded so that two keys one edit apart meet in a shard: a single edit leaves either the first or
-   the last half of the shorter key intact. Each shard is a trie; a bit-parallel Levenshtein automaton (with swaps) walks
-   it for every key of the shard and enumerates the neighbours.
+   the last half of the shorter key intact. Of a shard with too many keys the other half is halved again in the same way.
+   Each shard is a trie; a bit-parallel Levenshtein automaton (with swaps) walks it for every key of the shard and
+   enumerates the neighbours.
 4. Forms whose keys are neighbours are compared part by part in any order (``names.name_cost``). Each form links to the
    most similar, most frequent form among those more frequent than itself; linked forms are one vendor.
 """
@@ -28,6 +29,8 @@ from tallyline.plans.lineage import Scratch
 RAREST = 2
 #: Shortest key for which one edit is tolerated.
 FUZZY_FROM = 3
+#: Keys of one shard above which it is split by a further piece of the keys.
+SHARD_KEYS = 20_000
 
 
 def shards(key: str) -> list[str]:
@@ -84,21 +87,22 @@ def neighbours(trie: dict, key: str) -> list[str]:
 def _join_shards(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Neighbours within each shard; the rows of a partition come sorted by shard, so one trie is held at a time."""
 
-    def solve(keys: list[str]) -> pd.DataFrame:
+    def solve(shard: str, keys: list[str]) -> pd.DataFrame:
         trie = build_trie(keys)
-        pairs = [(k, other) for k in keys for other in neighbours(trie, k) if k < other]
-        return pd.DataFrame(pairs, columns=["key", "near"])
+        kind = shard.partition(":")[0]
+        pairs = [(kind, k, other) for k in keys for other in neighbours(trie, k) if k < other]
+        return pd.DataFrame(pairs, columns=["kind", "key", "near"])
 
     shard, held = None, []
     for pdf in batches:
         for s, k in zip(pdf["shard"].tolist(), pdf["key"].tolist()):
             if s != shard:
                 if len(held) > 1:
-                    yield solve(held)
+                    yield solve(shard, held)
                 shard, held = s, []
             held.append(k)
     if len(held) > 1:
-        yield solve(held)
+        yield solve(shard, held)
 
 
 def _tasks(df: DataFrame) -> int:
@@ -107,25 +111,49 @@ def _tasks(df: DataFrame) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
 
 
-def trie_join(keys: DataFrame) -> DataFrame:
-    """(key, near): every two distinct keys at most one edit apart, both ways, and each key with itself."""
-    sharded = keys.select("key", F.explode(_shards("key")).alias("shard"))
-    joined = sharded.repartition(_tasks(keys), "shard").sortWithinPartitions("shard").mapInPandas(_join_shards, "key string, near string").distinct()
+def trie_join(keys: DataFrame, shard_keys: int = SHARD_KEYS) -> DataFrame:
+    """(key, near): every two distinct keys at most one edit apart, both ways, and each key with itself.
+
+    What stands before a ``:`` in a key is its kind: it is the same in both, and no letter of theirs.
+    """
+    scratch = Scratch(keys.sparkSession, "tries")
+    bare = keys.select("key", F.substring_index("key", ":", 1).alias("kind"), F.substring_index("key", ":", -1).alias("body"))
+    sharded = bare.select("kind", "body", F.explode(_shards("body")).alias("s")).select("kind", "body", "s.*")
+    sharded = sharded.select("body", "n", "side", F.concat_ws(":", "kind", F.concat("side", F.col("n").cast("string"), "piece")).alias("shard"))
+    large, seen = scratch.measured(sharded.groupBy("shard").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > shard_keys).select("shard"), n=F.count(F.lit(1)))
+    if seen["n"]:
+        again = sharded.join(large, "shard", "left_semi").select("body", F.explode(_halves_again()).alias("t"), "shard").select("body", F.concat("shard", "t").alias("shard"))
+        sharded = sharded.join(large, "shard", "left_anti").select("body", "shard").unionByName(again)
+    placed = sharded.select("shard", F.col("body").alias("key")).repartition(_tasks(keys), "shard").sortWithinPartitions("shard")
+    joined = placed.mapInPandas(_join_shards, "kind string, key string, near string")
+    joined = joined.select(F.concat_ws(":", "kind", "key").alias("key"), F.concat_ws(":", "kind", "near").alias("near")).distinct()
     return joined.unionByName(joined.select(F.col("near").alias("key"), F.col("key").alias("near"))).unionByName(keys.select("key", F.col("key").alias("near")))
 
 
 def _shards(column: str):
-    """``shards`` as a native expression."""
+    """``shards`` as a native expression: (side, n, piece), n the length of the intact half."""
     n, key = F.length(column), F.col(column)
     every = []
     for less in (1, 2):
         h = F.floor((n - less) / 2).cast("int")
         usable = (n >= FUZZY_FROM) & (h >= 1)
         for side, part in (("f", F.substring(key, F.lit(1), h)), ("b", F.substring(key, n - h + 1, h))):
-            every.append(F.when(usable, F.concat(F.lit(side), h.cast("string"), part)))
+            every.append(F.when(usable, F.struct(F.lit(side).alias("side"), h.alias("n"), part.alias("piece"))))
     return F.array_distinct(F.filter(F.array(*every), lambda x: x.isNotNull()))
 
 
+def _halves_again():
+    """Further pieces of ``body`` beside the half (``side``, ``n``) that is intact: the edit is in the other part, of which
+    again one end is intact. The shorter of two keys in a shard has n + 1 or n + 2 letters there, so q letters of it are
+    n // 2 or (n + 1) // 2; where that is none, the shard stays whole."""
+    other = F.when(F.col("side") == "f", F.substring("body", F.col("n") + 1, F.length("body"))).otherwise(F.substring("body", F.lit(1), F.length("body") - F.col("n")))
+    every = []
+    for more in (0, 1):
+        q = F.floor((F.col("n") + more) / 2).cast("int")
+        every += [F.concat(F.lit("/f"), q.cast("string"), F.substring(other, F.lit(1), q)), F.concat(F.lit("/b"), q.cast("string"), F.when(q > 0, F.substring(other, F.length(other) - q + 1, q)).otherwise(""))]
+    return F.array_distinct(F.array(*every))
+
+
 _PARSED = T.StructType([T.StructField("core", T.StringType()), T.StructField("legal", T.StringType()), T.StructField("acronyms", T.ArrayType(T.StringType()))])
 
 
@@ -149,11 +177,11 @@ def _keys(forms: DataFrame) -> DataFrame:
     parts = forms.select("form", F.explode(F.array_distinct(F.split("core", " "))).alias("part")).where(F.length("part") >= FUZZY_FROM)
     seen = parts.groupBy("part").agg(F.count(F.lit(1)).alias("seen"))
     rank = Window.partitionBy("form").orderBy("seen", F.length("part").desc(), "part")
-    rare = parts.join(seen, "part").withColumn("nth", F.row_number().over(rank)).where(F.col("nth") <= RAREST).select("form", F.concat(F.lit("p"), "part").alias("key"))
-    whole = forms.select("form", F.concat(F.lit("w"), F.replace("core", F.lit(" "), F.lit(""))).alias("key"))
-    short = forms.where("legal <> '' and core not like '% %' and length(core) >= 2").select("form", F.concat(F.lit("a"), "core", F.lit("|"), "legal").alias("key"))
+    rare = parts.join(seen, "part").withColumn("nth", F.row_number().over(rank)).where(F.col("nth") <= RAREST).select("form", F.concat(F.lit("p:"), "part").alias("key"))
+    whole = forms.select("form", F.concat(F.lit("w:"), F.replace("core", F.lit(" "), F.lit(""))).alias("key"))
+    short = forms.where("legal <> '' and core not like '% %' and length(core) >= 2").select("form", F.concat(F.lit("a:"), "core", F.lit("|"), "legal").alias("key"))
     initials = forms.where("legal <> ''").select("form", "legal", F.explode("acronyms").alias("initials"))
-    initials = initials.select("form", F.concat(F.lit("a"), "initials", F.lit("|"), "legal").alias("key"))
+    initials = initials.select("form", F.concat(F.lit("a:"), "initials", F.lit("|"), "legal").alias("key"))
     wanted = short.select("key").distinct()
     return rare.unionByName(whole).unionByName(short).unionByName(initials.join(wanted, "key", "left_semi").select("form", "key")).distinct()
 
@@ -170,7 +198,6 @@ def vendor_classes(rows: DataFrame, name: str = "vendor_name") -> DataFrame:
     known = scratch.keep(parsed.withColumn("form", F.concat("core", F.lit("|"), "legal")))
     forms = scratch.keep(known.groupBy("form", "core", "legal", "acronyms").agg(F.sum("n_rows").alias("n")))
     keyed = scratch.keep(_keys(forms).join(forms.select("form", "n"), "form"))
-    # the kind of a key is its first letter: whole names and parts don't mix, as an edit of it would be needed on top
     near = trie_join(keyed.select("key").distinct())
     one, two = keyed.select("key", F.col("form").alias("form"), "n"), keyed.select(F.col("key").alias("near"), F.col("form").alias("parent"), F.col("n").alias("parent_n"))
     ahead = (F.col("parent_n") > F.col("n")) | (F.col("parent_n") == F.col("n")) & (F.col("parent") < F.col("form"))

@@ -27,7 +27,8 @@ def groups(found):
     "a, b, same",
     [
         ("fac2025005016", "fac 2025 005 016", True), ("00065 re 01 2025", "01 2025 00065 re", True), ("001956bil042023", "001 956 2023 04 bil", True),
-        ("re 00271", "re 00217", False), ("2022 006834", "2022 006843", False), ("fac2025005016", "2025 005016 fac", True), ("a", "a", True), ("ab", "ba", False),
+        ("re 00271", "re 00217", False), ("2022 006834", "2022 006843", False), ("fac2025005016", "2025 005016 fac", True), ("a", "a", True), ("ab", "ba", False), ("2024re 001", "001re 2024", True),
+        ("a b c d e f g 1", "1 g f e d c b a", True), ("12 3", "1 23", True), ("12 3", "31 2", True), ("12 3", "13 2", False),
     ],
 )
 def test_same_number(a, b, same):
@@ -66,6 +67,23 @@ def test_against_brute_force(spark):
     assert counted == {k: len(v) for k, v in want.items()}
 
 
+def test_classes_are_those_of_all_pairs():
+    rng = random.Random(9)
+    for parts in (["re", "12", "2024"], ["a", "b", "1", "22", "3", "c", "4", "55"], ["12", "21", "1"]):
+        forms = []
+        for _ in range(40):
+            p = parts[:]
+            rng.shuffle(p)
+            forms.append("".join(x + rng.choice(["", " "]) for x in p).strip())
+        forms = list(dict.fromkeys(forms))
+        head = list(range(len(forms)))
+        for _ in forms:  # to the fixed point
+            for i, j in combinations(range(len(forms)), 2):
+                if M.same_number(forms[i], forms[j]):
+                    head[i] = head[j] = min(head[i], head[j])
+        assert M._classes(forms) == head
+
+
 def test_exact_fields_matter(spark):
     both = df(spark, ["A-1"]).unionByName(df(spark, ["a 1"], amount=2).withColumn("id", F.lit("z"))).unionByName(df(spark, ["a1"], currency="").withColumn("id", F.lit("y")))
     assert groups(M.copies_of_records(both)) == {}
