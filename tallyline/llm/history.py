@@ -358,8 +358,10 @@ def late_duplicates(invoices: DataFrame, classes: DataFrame | None = None, path:
     for (number,) in sorted(rows.select("batch").distinct().collect()):  # one number for each batch
         batch, few = index.batch(rows.where(F.col("batch") == number))
         if number:
-            found.append(index.earliest(batch, few).select("record", F.lit(number).alias("batch")))
+            # written round by round: one plan of all rounds would hold all their broadcasts in the driver at once
+            found.append(scratch.keep(index.earliest(batch, few).select("record", F.lit(number).alias("batch"))))
         index.append(batch, few)
+        index.scratch.release(batch)
     if not found:
         return rows.select("id").where("false")
     every = found[0]
